@@ -87,6 +87,7 @@ def with_furniture(text_lines: DataFrame) -> DataFrame:
         .withColumn("is_cut", head.rlike(r"(\.\.\.|…)$"))
     )
     titled = (F.col("stem") == F.col("title")) | (F.col("is_cut") & (F.length("stem") > 8) & F.expr("startswith(title, stem)"))
+    titled = titled | (F.col("near") & (F.length("stem") > 15) & F.expr("startswith(title, concat(stem, ' '))"))
     authored = (F.col("stem") == F.col("authors")) | (head.rlike(r" et al\.?$") & F.expr("startswith(authors, regexp_replace(stem, ' ct ai[.]?$', ''))"))
     running = F.coalesce((F.col("seq") > 2) & (titled | authored), F.lit(False))
     tail = F.array_join(F.slice(F.reverse(F.split("mask", " ")), 1, 3), " ")
