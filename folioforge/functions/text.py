@@ -1,9 +1,11 @@
-"""Column functions on texts. All run inside the JVM; none needs Python workers."""
+"""Column functions on texts. All but ``indel_ratio`` run inside the JVM."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: what Python's str.split() splits at; Java's \\s alone is ASCII
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
@@ -76,19 +78,29 @@ def output_budget(estimate: Column, context: int = 200_000, least: int = 1500, m
     return F.greatest(F.lit(least), F.least(F.lit(most), F.lit(context) - estimate)).cast("long")
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
-    """2 * LCS / (len a + len b); 1 for two empty texts. Rows of the LCS table are folded inside the JVM."""
-    chars = F.filter(F.split(b, ""), lambda c: c != "")
-    zero = F.transform(F.concat(F.array(F.lit("")), chars), lambda _: F.lit(0))
-
-    def step(row: Column, ch: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            here = F.element_at(chars, j)
-            best = F.when(here == ch, F.element_at(row, j) + 1).otherwise(F.greatest(F.element_at(acc, -1), F.element_at(row, j + 1)))
-            return F.concat(acc, F.array(best))
-
-        return F.when(F.size(chars) == 0, row).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(chars), F.lit(1))), F.array(F.lit(0)), cell))
-
-    last = F.aggregate(F.filter(F.split(a, ""), lambda c: c != ""), zero, step)
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.element_at(last, -1) / F.greatest(total, F.lit(1)))
+def _lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit for each character of ``a``."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """2 * LCS / (len a + len b); 1 for two empty texts, null for a null one."""
+    out = []
+    for x, y in zip(a, b):
+        if x is None or y is None:
+            out.append(None)
+        else:
+            out.append(2.0 * _lcs(x, y) / (len(x) + len(y)) if x or y else 1.0)
+    return pd.Series(out, dtype="float64")
+
+
+def indel_ratio(a: Column | str, b: Column | str) -> Column:
+    """2 * LCS / (len a + len b), in Arrow batches; 1 for two empty texts, null for a null one."""
+    return F.pandas_udf(_ratio, DoubleType())(a, b)

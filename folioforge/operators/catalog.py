@@ -20,6 +20,8 @@ SUBJECT_RULES = (
     ("se", ("software", "programming")), ("network", ("network", "internet")), ("security", ("security", "cryptography")), ("db", ("database", "data mining")),
     ("theory", ("theory", "computation")),
 )
+#: words that more than one venue in so many has (and more than 20) open no comparison of names
+COMMON_ONE_IN = 20
 RATING_QUARTILE = {"A": "Q1", "B": "Q2", "C": "Q3"}
 
 
@@ -93,11 +95,10 @@ def new_ids(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def fuzzy_matches(names: DataFrame, key: str, name: str, venues: DataFrame, least: float = 0.6) -> DataFrame:
-    """(key, journal_id, ratio): each name's best venue by InDel ratio; a shared word lifts a ratio to 0.7 at least.
+    """(key, journal_id, ratio): each name's best venue by InDel ratio; ties go to the smaller corpus position.
 
-    Names are compared with those venues that share a word or one of the first letters of a word pair with
-    them, found by equi-joins; lengths that cannot reach the ratio are left out before it is computed.
-    Ties go to the smaller corpus position.
+    Names are compared with the venues that share a word of over three letters with them, words that over one
+    venue in ``COMMON_ONE_IN`` has apart; lengths that cannot reach the ratio are left out before it is computed.
     """
     a = names.select(key, tx.normal_name(F.col(name)).alias("a")).where("a <> ''")
     b = venues.select("journal_id", "pos", tx.normal_name(F.col("journal_name")).alias("b")).where("b <> ''")
@@ -105,7 +106,10 @@ def fuzzy_matches(names: DataFrame, key: str, name: str, venues: DataFrame, leas
     def words(df: DataFrame, c: str) -> DataFrame:
         return df.select("*", F.explode(F.filter(tx.token_set(F.col(c)), lambda w: F.length(w) > 3)).alias("w"))
 
-    shared = words(a, "a").select(key, "a", F.col("w")).join(words(b, "b").select("journal_id", "pos", "b", "w"), "w").select(key, "a", "journal_id", "pos", "b").distinct()
+    held = words(b, "b").select("journal_id", "pos", "b", "w")
+    limit = F.greatest(F.count(F.lit(1)) / COMMON_ONE_IN, F.lit(20.0))
+    common = held.groupBy("w").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(b.agg(limit.alias("most")))).where("df > most").select("w")
+    shared = words(a, "a").select(key, "a", "w").join(held.join(common, "w", "left_anti"), "w").select(key, "a", "journal_id", "pos", "b").distinct()
     possible = shared.where(2 * F.least(F.length("a"), F.length("b")) / (F.length("a") + F.length("b")) >= least)
     ratio = F.round(F.when(F.col("a") == F.col("b"), 1.0).otherwise(tx.indel_ratio(F.col("a"), F.col("b"))), 6)
     scored = possible.withColumn("ratio", ratio).where(F.col("ratio") >= least)

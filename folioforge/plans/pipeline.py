@@ -68,7 +68,7 @@ def list_venues(venues: DataFrame, tag: str = "", oa_type: str = "", quartile: s
 def report(recommended: DataFrame, papers: DataFrame) -> DataFrame:
     """(paper_id, no, line): the lines of a printed report, at most ten reasons for each venue."""
     title = papers.select("paper_id", F.lit(0).alias("no"), F.concat(F.lit("Paper: "), F.coalesce("title", F.lit(""))).alias("line"))
-    venue = recommended.select("paper_id", (F.col("rank") * 100).alias("no"), F.concat(F.col("rank").cast("string"), F.lit(". "), "journal_name", F.lit(" ("), F.format_number("score", "0.00"), F.lit(")")).alias("line"))
+    venue = recommended.select("paper_id", (F.col("rank") * 100).alias("no"), F.concat(F.col("rank").cast("string"), F.lit(". "), "journal_name", F.lit(" ("), F.expr("format_number(score, '0.00')"), F.lit(")")).alias("line"))
     why = recommended.select("paper_id", "rank", F.posexplode(F.slice("reasons", 1, 10)).alias("i", "r")).select("paper_id", (F.col("rank") * 100 + 1 + F.col("i")).alias("no"), F.concat(F.lit("  - "), "r").alias("line"))
     return title.unionByName(venue).unionByName(why)
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import glob
 import os
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..operators.tables import venue_profile
 
@@ -67,9 +69,21 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if _exists(path) else None
 
 
+def _decode(content: pd.Series) -> pd.Series:
+    def one(raw: bytes | None) -> str | None:
+        for coding in ("utf-8", "gbk", "latin-1"):
+            try:
+                return None if raw is None else raw.decode(coding)
+            except UnicodeDecodeError:
+                pass
+        return None
+
+    return content.map(one)
+
+
 def decoded(content: Column) -> Column:
-    """Bytes as text: UTF-8, else GBK, else Latin-1."""
-    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.coalesce(F.try_validate_utf8(F.decode(content, "GBK")), F.decode(content, "ISO-8859-1")))
+    """Bytes as text: UTF-8, else GBK (which Spark's own decode lacks), else Latin-1."""
+    return F.pandas_udf(_decode, StringType())(content)
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
