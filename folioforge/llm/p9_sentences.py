@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-VOCAB_ONE_IN, TRAIN, DIM = 200_000, 200_000, 1 << 15
+VOCAB_ONE_IN, TRAIN, DIM = 200_000, 40_000, 1 << 15
 EPOCHS, PENALTY = 150, 1e-5
 CLOSERS = "”\"’'“»)\\]）】』」》›"
 FIRM = "”’»)\\]）】』」》›"
@@ -328,22 +328,23 @@ def train(docs: DataFrame, stats: Stats, rows: int = TRAIN) -> np.ndarray:
                 parts = units(text or "")
                 for one, two in zip(parts, parts[1:]):
                     if c := junction(text, one, two):
-                        out.append((xxhash.xxh64_intdigest(f"{doc_id}.{c[0]}") >> 1, _codes(features(c, stats)), 1))
+                        out.append((xxhash.xxh64_intdigest(f"{doc_id}.{c[0]}") >> 1, np.array(_codes(features(c, stats)), dtype=np.uint16).tobytes(), 1))
                 for a, b in parts:
                     for c in candidates(text, a, b):
                         y = reliable(c, stats)
                         if y >= 0:
-                            out.append((xxhash.xxh64_intdigest(f"{doc_id}.{c[0]}") >> 1, _codes(features(c, stats)), y))
+                            out.append((xxhash.xxh64_intdigest(f"{doc_id}.{c[0]}") >> 1, np.array(_codes(features(c, stats)), dtype=np.uint16).tobytes(), y))
             yield pd.DataFrame(out, columns=["place", "codes", "y"])
 
     # documents by hash, about as many as fill the bound; then exactly the bound by place
-    share = min(1.0, rows / n_docs)
+    share = min(1.0, rows / n_docs / 2)
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    sample = some.mapInPandas(label, "place long, codes array<int>, y int").orderBy("place").limit(rows).toPandas()
+    sample = some.mapInPandas(label, "place long, codes binary, y int").orderBy("place").limit(rows).toPandas()
     weights = np.zeros(DIM)
     if sample.empty or sample["y"].nunique() < 2:
         return weights
-    x, y = np.array(sample["codes"].tolist(), dtype=np.int64), sample["y"].to_numpy(dtype=float)
+    x = np.frombuffer(b"".join(sample["codes"]), dtype=np.uint16).astype(np.int64).reshape(len(sample), -1)
+    y = sample["y"].to_numpy(dtype=float)
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     square = np.full(DIM, 1e-8)
     for _ in range(EPOCHS):
