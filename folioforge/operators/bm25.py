@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut
 
 K1, B, EPSILON, DELTA = 1.5, 0.75, 0.25, 1.0
+RANGE = 50_000
 
 
 def index(docs: DataFrame, key: str, text: Column, lower: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -46,15 +48,16 @@ def okapi_topk(queries: DataFrame, qkey: str, qtext: Column, docs: DataFrame, ke
     postings, terms, corpus = index(docs, key, dtext)
     q = query_terms(queries, qkey, qtext)
     part = F.col("qn") * F.col("idf_okapi") * F.col("tf") * (K1 + 1) / (F.col("tf") + _length_norm())
-    hits = (
+    hits = cut(
         q.join(terms.select("term", "idf_okapi"), "term").join(postings, "term").crossJoin(F.broadcast(corpus)).groupBy(qkey, key).agg(F.round(F.sum(part), 6).alias("score"))
-    ).join(docs.select(key, pos), key)
+        .join(docs.select(key, pos), key)
+    )
     most = F.lit(k) if isinstance(k, int) else k
     scored = hits.select(qkey, key, pos, "score")
     # the first documents in corpus order that a query does not match
     top_k = k if isinstance(k, int) else 64
     matched = hits.groupBy(qkey).agg(F.count(F.lit(1)).alias("m"))
-    order = docs.select(key, pos).withColumn("place", F.row_number().over(Window.orderBy(pos)))
+    order = numbered(docs.select(key, pos), pos)
     need = queries.select(qkey).join(matched, qkey, "left").select(qkey, F.coalesce("m", F.lit(0)).alias("m"))
     worst = hits.withColumn("r", F.row_number().over(Window.partitionBy(qkey).orderBy(F.desc("score"), pos))).where((F.col("r") == top_k) & (F.col("score") > 0)).select(qkey)
     open_ = need.join(worst, qkey, "left_anti")
@@ -64,6 +67,15 @@ def okapi_topk(queries: DataFrame, qkey: str, qtext: Column, docs: DataFrame, ke
     return ranked.where(F.col("rank") <= most).select(qkey, key, "score", "rank")
 
 
+def numbered(docs: DataFrame, pos: str) -> DataFrame:
+    """Adds ``place``, from 1 in corpus order: counted within ranges of ``RANGE`` positions, so that no task orders all documents."""
+    ranged = docs.withColumn("_b", F.floor(F.col(pos) / RANGE))
+    sizes = ranged.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    here = F.row_number().over(Window.partitionBy("_b").orderBy(pos))
+    return ranged.withColumn("_here", here).join(before, "_b").withColumn("place", F.col("_here") + F.col("_before")).drop("_b", "_here", "_before")
+
+
 def plus_scores(pairs: DataFrame, qkey: str, qtext: Column, docs: DataFrame, key: str, dtext: Column, fixed: str) -> DataFrame:
     """(qkey, key, score) of the given pairs, as a share of the best document's score for the ``fixed`` query."""
     postings, terms, corpus = index(docs, key, dtext, lower=False)
