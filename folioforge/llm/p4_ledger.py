@@ -25,8 +25,8 @@ HOT_ONE_IN = 1000
 
 
 def letters_digits(value: Column) -> Column:
-    """Upper before lower case makes ``ß`` equal ``SS``; accents stay."""
-    return F.lower(F.upper(F.regexp_replace(F.coalesce(value, F.lit("")), r"[^\p{L}\p{M}\p{N}]+", "")))
+    """Case folded, so that ``ß`` equals ``SS``; accents stay."""
+    return F.replace(F.lower(F.regexp_replace(F.coalesce(value, F.lit("")), r"[^\p{L}\p{M}\p{N}]+", "")), F.lit("ß"), F.lit("ss"))
 
 
 def canonical_key(record: Column) -> Column:
