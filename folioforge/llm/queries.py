@@ -124,8 +124,37 @@ _KEY = " || '|' || ".join(
 )
 
 
+def _survivor_sql() -> str:
+    """The stated rule alone: what the model's choice must come to."""
+    one = "list_filter([{f}], lambda x: x IS NOT NULL AND trim(x) <> '')"
+    many = "list_distinct(list_filter(coalesce({f}, []), lambda x: x IS NOT NULL AND trim(x) <> ''))"
+    union = " UNION ALL ".join(
+        f"SELECT journal_id, pos, fetched_at, tr, '{f}' AS field_name, {(many if f in p3_survivor.LISTS else one).format(f=f)} AS el FROM g" for f in p3_survivor.FIELDS
+    )
+    plain = "regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', '', 'g')"
+    words = "[" + ", ".join(f"'{w}'" for w in p3_survivor.PLACEHOLDERS) + "]"
+    filler = p3_survivor.FILLER
+    return f"""
+        WITH many AS (SELECT journal_id FROM venues WHERE journal_id IS NOT NULL GROUP BY journal_id HAVING count(*) > 1),
+        tr AS (SELECT source, min(trust_rank) AS tr FROM feeds GROUP BY source),
+        g AS (SELECT v.*, tr FROM venues v JOIN many USING (journal_id) LEFT JOIN tr USING (source)),
+        e AS (SELECT *, array_to_string(list_sort(el), chr(31)) AS value FROM ({union})),
+        shared AS (SELECT value FROM e WHERE field_name = 'scope_text' AND len(el) > 0 GROUP BY value HAVING count(DISTINCT journal_id) >= {p3_survivor.SHARED_BY}),
+        ok AS (SELECT * FROM e WHERE len(el) > 0 AND len(list_filter(el, lambda x: NOT (list_contains({words}, {plain}) OR regexp_matches({plain}, '^keyword\\d+$')))) > 0
+            AND NOT regexp_matches(value, '[�\\x00-\\x08]')
+            AND (field_name <> 'scope_text' OR (NOT regexp_matches(value, '{filler}') AND value NOT IN (SELECT value FROM shared)
+                AND regexp_matches(rtrim(value), '[.!?。！？]["''”’»)\\]]*$') AND NOT regexp_matches(rtrim(value), '(\\.\\.|…|\\[more\\])$')))
+            AND (field_name <> 'submission_url' OR regexp_matches(trim(el[1]), '(?i)^(https?|ftp)://[^\\s/.?#]+(\\.[^\\s/.?#]+)+([/?#]\\S*)?$'))
+            AND NOT EXISTS (SELECT 1 FROM e o WHERE o.journal_id = e.journal_id AND o.field_name = e.field_name AND o.value <> e.value AND (
+                (e.field_name = 'scope_text' AND starts_with(o.value, e.value))
+                OR (e.field_name IN ('subject_tags', 'keywords') AND len(o.el) > len(e.el) AND len(list_filter(e.el, lambda x: NOT list_contains(o.el, x))) = 0))))
+        SELECT journal_id, field_name, pos FROM (SELECT *, row_number() OVER (PARTITION BY journal_id, field_name
+            ORDER BY fetched_at IS NULL, fetched_at DESC, coalesce(tr, 2147483647), pos) AS r FROM ok) WHERE r = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": _survivor_sql(),
         "p4_found": f"""
             WITH k AS (SELECT line_id, {_KEY} AS key FROM venue_lines), g AS (SELECT key, min(line_id) AS first_line FROM k GROUP BY key)
             SELECT first_line, line_id AS copy_line FROM k JOIN g USING (key) WHERE line_id <> first_line""",
