@@ -90,15 +90,14 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def indel(a: str, b: str) -> float:
+    """2 * LCS / (len a + len b) of two texts; 1 for two empty ones."""
+    return 2.0 * _lcs(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """2 * LCS / (len a + len b); 1 for two empty texts, null for a null one."""
-    out = []
-    for x, y in zip(a, b):
-        if x is None or y is None:
-            out.append(None)
-        else:
-            out.append(2.0 * _lcs(x, y) / (len(x) + len(y)) if x or y else 1.0)
-    return pd.Series(out, dtype="float64")
+    """Null for a null text."""
+    return pd.Series([None if x is None or y is None else indel(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def indel_ratio(a: Column | str, b: Column | str) -> Column:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut, lookup
+from .blocks import in_blocks
 from .tables import arr
 
 #: fixed values: the words of a short taxonomy
@@ -20,8 +26,8 @@ SUBJECT_RULES = (
     ("se", ("software", "programming")), ("network", ("network", "internet")), ("security", ("security", "cryptography")), ("db", ("database", "data mining")),
     ("theory", ("theory", "computation")),
 )
-#: words that more than one venue in so many has (and more than 20) open no comparison of names
-COMMON_ONE_IN = 20
+#: the place of a venue without a corpus position
+LAST = 1 << 62
 RATING_QUARTILE = {"A": "Q1", "B": "Q2", "C": "Q3"}
 
 
@@ -94,27 +100,54 @@ def new_ids(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.join(old.select("journal_id").distinct(), "journal_id", "left_anti")
 
 
-def fuzzy_matches(names: DataFrame, key: str, name: str, venues: DataFrame, least: float = 0.6) -> DataFrame:
-    """(key, journal_id, ratio): each name's best venue by InDel ratio; ties go to the smaller corpus position.
+def fuzzy_matches(names: DataFrame, key: str, name: str, venues: DataFrame, least: float = 0.6, by_word: float = 0.7) -> DataFrame:
+    """(key, journal_id, ratio): each name's best venue; ties go to the smaller corpus position.
 
-    Names are compared with the venues that share a word of over three letters with them, words that over one
-    venue in ``COMMON_ONE_IN`` has apart; lengths that cannot reach the ratio are left out before it is computed.
+    A venue's score is the InDel ratio of the lower-case names, and at least ``by_word`` if one of the venue's
+    words stands anywhere in the name; scores below ``least`` are none. Distinct names meet all distinct venue
+    names block by block. Within a block the characters that two names share bound their ratio from above, so
+    that only pairs which could still be the best are compared; none is lost. Null and blank names match nothing.
     """
-    a = names.select(key, tx.normal_name(F.col(name)).alias("a")).where("a <> ''")
-    b = venues.select("journal_id", "pos", tx.normal_name(F.col("journal_name")).alias("b")).where("b <> ''")
-
-    def words(df: DataFrame, c: str) -> DataFrame:
-        return df.select("*", F.explode(F.filter(tx.token_set(F.col(c)), lambda w: F.length(w) > 3)).alias("w"))
-
-    held = words(b, "b").select("journal_id", "pos", "b", "w")
-    limit = F.greatest(F.count(F.lit(1)) / COMMON_ONE_IN, F.lit(20.0))
-    common = held.groupBy("w").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(b.agg(limit.alias("most")))).where("df > most").select("w")
-    shared = words(a, "a").select(key, "a", "w").join(held.join(common, "w", "left_anti"), "w").select(key, "a", "journal_id", "pos", "b").distinct()
-    possible = shared.where(2 * F.least(F.length("a"), F.length("b")) / (F.length("a") + F.length("b")) >= least)
-    ratio = F.round(F.when(F.col("a") == F.col("b"), 1.0).otherwise(tx.indel_ratio(F.col("a"), F.col("b"))), 6)
-    scored = possible.withColumn("ratio", ratio).where(F.col("ratio") >= least)
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ratio"), "pos"))).where("r = 1")
-    return best.select(key, "journal_id", "ratio")
+    typed = names.select(key, tx.normal_name(F.col(name)).alias("a")).where("a <> ''")
+    asked = typed.groupBy("a").agg(F.count(F.lit(1)).alias("facts"))
+    held = (
+        venues.select(tx.normal_name(F.col("journal_name")).alias("b"), F.coalesce("pos", F.lit(LAST)).cast("long").alias("pos"), F.col("journal_id").cast("string").alias("j")).where("b <> ''")
+        .groupBy("b").agg(F.min(F.struct("pos", "j")).alias("v")).select("b", "v.pos", "v.j")
+    )
+
+    def best(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        vs = vs.sort_values("pos").reset_index(drop=True)
+        bs, sizes = vs["b"].tolist(), vs["b"].map(len).to_numpy()
+        chars = {c: i for i, c in enumerate(sorted(set("".join(bs))))}
+        bags = np.zeros((len(bs), len(chars)), dtype=np.int32)
+        first: dict[str, int] = {}
+        for i, b in enumerate(bs):
+            for c, n in Counter(b).items():
+                bags[i, chars[c]] = n
+            for w in b.split():
+                first.setdefault(w, i)
+        found = []
+        for a in qs["a"]:
+            hits = [i for w, i in first.items() if w in a]
+            score, at = (by_word, min(hits)) if hits else (0.0, -1)
+            mine = np.zeros(len(chars), dtype=np.int32)
+            for c, n in Counter(a).items():
+                if c in chars:
+                    mine[chars[c]] = n
+            bound = 2.0 * np.minimum(bags, mine).sum(axis=1) / (sizes + len(a))
+            for i in np.argsort(-bound, kind="stable"):
+                if bound[i] < max(score, least):
+                    break
+                ratio = tx.indel(a, bs[i])
+                if ratio >= least and (ratio > score or ratio == score and i < at):
+                    score, at = ratio, int(i)
+            if at >= 0 and score >= least:
+                found.append((a, float(score), int(vs["pos"][at]), vs["j"][at]))
+        return pd.DataFrame(found, columns=["a", "ratio", "pos", "j"])
+
+    scored = in_blocks(asked, "a", held, "b", best, "a string, ratio double, pos long, j string")
+    top = scored.groupBy("a").agg(F.max(F.struct("ratio", (-F.col("pos")).alias("first"), "j")).alias("m")).select("a", F.col("m.j").alias("journal_id"), F.round("m.ratio", 6).alias("ratio"))
+    return lookup(typed, cut(top.join(asked, "a")), ["a"], "facts", typed.count()).select(key, "journal_id", "ratio")
 
 
 def cascade(names: DataFrame, key: str, name: str, venues: DataFrame) -> DataFrame:

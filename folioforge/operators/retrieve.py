@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .blocks import in_blocks
 
 #: fixed values: hits of each route by mode, and the weights of the routes
 FAN_OUT = {"title": (22, 22, 16), "abstract": (28, 28, 14), "full": (32, 32, 16)}
 WEIGHTS = {"bm25": 0.45, "vector": 0.35, "text": 0.20}
 ROUTES = ("bm25", "vector", "text")
-#: vectors compared at once
-BLOCK = 512
+#: queries of a block that are multiplied at once
+AT_ONCE = 128
 
 
 def overlap_topk(queries: DataFrame, qkey: str, qtext: Column, docs: DataFrame, key: str, pos: str, dtext: Column, k: int = 14) -> DataFrame:
@@ -36,37 +35,38 @@ def topk(scored: DataFrame, qkey: str, tie: str, k: int | Column) -> DataFrame:
 def vector_topk(queries: DataFrame, qkey: str, docs: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
     """(qkey, key, score, rank): exact nearest neighbours; the score is the negative squared distance.
 
-    The stated queries meet all documents in blocks of at most ``BLOCK`` queries: a task multiplies matrices and
-    passes on only its k best of each query. Vectors of another length than the query's are left out.
+    The stated queries meet all documents block by block: a task multiplies matrices, works out the distances of
+    what can be among the k best, and passes on only those. Vectors of another length than the query's and
+    vectors with a null element are left out.
     """
-    n_blocks = max(1, -(-queries.count() // BLOCK))
-    block = F.pmod(F.xxhash64(qkey), F.lit(n_blocks)).cast("int")
-    asked = queries.where(F.col(vector).isNotNull()).select(block.alias("block"), F.col(qkey).alias("q"), F.col(vector).alias("qv"))
-    grouped = asked.groupBy("block").agg(F.collect_list(F.struct("q", "qv")).alias("qs"))
-    spread = docs.where(F.col(vector).isNotNull()).select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.col(key).alias("d"), F.col(vector).alias("v"))
-    parts = spread.withColumn("part", F.pmod(F.xxhash64("d"), F.lit(docs.sparkSession.sparkContext.defaultParallelism)).cast("int"))
-    kinds = dict(queries.dtypes)[qkey], dict(docs.dtypes)[key]
 
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for _, same in batch.groupby("block"):
-                qs = same["qs"].iloc[0]
-                for size in {len(x["qv"]) for x in qs}:
-                    mine = [x for x in qs if len(x["qv"]) == size]
-                    docs_ = [(d, v) for d, v in zip(same["d"], same["v"]) if len(v) == size]
-                    if not docs_:
-                        continue
-                    a = np.array([x["qv"] for x in mine], dtype=np.float64)
-                    b = np.array([v for _, v in docs_], dtype=np.float64)
-                    ids = np.array([d for d, _ in docs_])
-                    for i, x in enumerate(mine):
-                        dist = ((b - a[i]) ** 2).sum(axis=1).round(6)
-                        best = np.lexsort((ids, dist))[:k]
-                        rows += [(x["q"], ids[j].item(), -float(dist[j])) for j in best]
-            yield pd.DataFrame(rows, columns=["q", "d", "score"])
-
-    near = parts.join(grouped, "block").mapInPandas(nearest, f"q {kinds[0]}, d {kinds[1]}, score double")
+    def side(df: DataFrame, name: str, short: str) -> DataFrame:
+        return df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(F.col(name).alias(short), F.col(vector).alias(short + "v"))
+
+    def nearest(qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
+        found: list[pd.DataFrame] = []
+        sizes = ds["dv"].map(len)
+        for size, mine in qs.groupby(qs["qv"].map(len)):
+            held = ds[sizes == size]
+            if size == 0 or held.empty:
+                continue
+            b, ids = np.stack(held["dv"].to_numpy()).astype(np.float64), held["d"].to_numpy()
+            norms, n = (b * b).sum(axis=1), min(k, len(held))
+            for start in range(0, len(mine), AT_ONCE):
+                some = mine.iloc[start : start + AT_ONCE]
+                a = np.stack(some["qv"].to_numpy()).astype(np.float64)
+                near = (a * a).sum(axis=1)[:, None] + norms[None, :] - 2 * a @ b.T
+                # the product rounds differently than the distance: what is as near as the k-th but for that is worked out
+                most = np.partition(near, n - 1, axis=1)[:, n - 1] + 4e-6 + 1e-9 * (norms.max() + (a * a).sum(axis=1))
+                for i, q in enumerate(some["q"]):
+                    may = np.flatnonzero(near[i] <= most[i])
+                    dist = ((b[may] - a[i]) ** 2).sum(axis=1).round(6)
+                    best = np.lexsort((ids[may], dist))[:k]
+                    found.append(pd.DataFrame({"q": q, "d": ids[may][best], "score": -dist[best]}))
+        return pd.concat(found) if found else pd.DataFrame({"q": [], "d": [], "score": []})
+
+    kinds = dict(queries.dtypes)[qkey], dict(docs.dtypes)[key]
+    near = in_blocks(side(queries, qkey, "q"), "q", side(docs, key, "d"), "d", nearest, f"q {kinds[0]}, d {kinds[1]}, score double")
     return topk(near, "q", "d", k).select(F.col("q").alias(qkey), F.col("d").alias(key), "score", "rank")
 
 

@@ -128,10 +128,20 @@ def name_cascade_match(s, d):
     return catalog.cascade(table(s, d, "typed_venues"), "entry_id", "journal_name", catalogue(table(s, d, "venues")))
 
 
-@query()
+# the longest common subsequence, row by row: a row is folded over the other name's characters
+_LCS = """list_reduce(list_prepend(list_transform(range(length(b) + 1), lambda x: 0::BIGINT), list_transform(string_split(a, ''), lambda ch: [unicode(ch)::BIGINT])),
+    lambda prev, ch: list_reduce(list_prepend([0::BIGINT], list_transform(range(1, length(b) + 1), lambda j: [greatest(prev[j + 1], prev[j] + CASE WHEN unicode(b[j]) = ch[1] THEN 1 ELSE 0 END)])),
+        lambda acc, x: list_append(acc, greatest(acc[-1], x[1]))))[-1]"""
+
+
+@query(f"""WITH {sql.CAT}, q AS (SELECT DISTINCT lower(trim(journal_name)) AS a FROM typed_venues WHERE entry_id % 20 = 0), v AS (SELECT lower(trim(journal_name)) AS b, min(pos) AS pos, min_by(journal_id, pos) AS j FROM cat GROUP BY 1),
+    p AS (SELECT a, pos, j, 2.0::DOUBLE * {_LCS} / (length(a) + length(b)) AS alike, len(list_filter({sql.toks('b')}, lambda w: contains(a, w))) > 0 AS worded FROM q, v WHERE a <> '' AND b <> ''),
+    s AS (SELECT a, pos, j, CASE WHEN worded THEN greatest(alike, 0.7::DOUBLE) ELSE alike END AS ratio FROM p),
+    m AS (SELECT * FROM s WHERE ratio >= 0.6 QUALIFY row_number() OVER (PARTITION BY a ORDER BY ratio DESC, pos) = 1)
+    SELECT entry_id, j AS journal_id, round(ratio, 6) AS ratio FROM typed_venues t JOIN m ON m.a = lower(trim(t.journal_name)) WHERE entry_id % 20 = 0""")
 def fuzzy_venue_match(s, d):
-    """Each typed name's best venue by InDel ratio."""
-    return catalog.fuzzy_matches(table(s, d, "typed_venues"), "entry_id", "journal_name", catalogue(table(s, d, "venues")))
+    """The best venue of each typed name of the stated query set (``entry_id`` divides by 20), among all venues."""
+    return catalog.fuzzy_matches(table(s, d, "typed_venues").where("entry_id % 20 = 0"), "entry_id", "journal_name", catalogue(table(s, d, "venues")))
 
 
 @query(f"""WITH {_CASCADE}, m AS (SELECT l.listing_id, l.journal_name AS want, c.journal_name AS got FROM listings l JOIN a ON a.n = regexp_replace(lower(l.journal_name), '[^a-z0-9]', '', 'g') JOIN cat c ON c.journal_id = a.j),

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -85,10 +86,44 @@ def test_fuzzy_and_topics(spark):
     v = spark.createDataFrame([("a", 0, "Journal of Graph Mining"), ("b", 1, "Annals of Theory"), ("c", 2, "journal of graph mining")], "journal_id string, pos long, journal_name string")
     n = spark.createDataFrame([(1, "Jornal of Graph Mining"), (2, "zzz"), (3, None)], "k long, name string")
     assert [(r.k, r.journal_id) for r in catalog.fuzzy_matches(n, "k", "name", v).collect()] == [(1, "a")]
+    empty = catalog.fuzzy_matches(n.limit(0), "k", "name", v).count(), catalog.fuzzy_matches(n, "k", "name", v.limit(0)).count()
+    assert empty == (0, 0)
     t = spark.createDataFrame([([],), (["x"],), (["x", "y"],), (["x", "y", "z"],), (["x", "y", "z", "w"],), (None,)], "t array<string>")
     assert [r.s for r in t.select(catalog.topic_scope(F.col("t")).alias("s")).collect()][3:5] == ["Covers x, y, z.", "Covers x, y, z, and related topics including w."]
 
 
+def test_fuzzy_equals_brute_force(spark):
+    """Every pair by a plain table of subsequences, against the blocked search with its bounds; ties, repeats, nulls and a missing position."""
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for i, y in enumerate(b):
+                new.append(max(new[-1], row[i + 1], row[i] + (x == y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(5)
+    parts = ["graph", "mining", "data", "letters", "of", "x", "é", "図書"]
+    names = [(i, None if i == 3 else "" if i == 4 else "".join(c for c in " ".join(rng.choices(parts, k=3)) if rng.random() > 0.2)) for i in range(60)]
+    names += [(100 + i, names[0][1]) for i in range(5)]
+    venues = [(f"v{i}", None if i == 0 else i, None if i == 7 else " ".join(rng.choices(parts, k=rng.randint(1, 4))).upper()) for i in range(40)]
+    got = catalog.fuzzy_matches(spark.createDataFrame(names, "k long, name string"), "k", "name", spark.createDataFrame(venues, "journal_id string, pos long, journal_name string")).collect()
+    want = {}
+    for k, n in names:
+        a = (n or "").lower().strip()
+        scored = []
+        for j, pos, v in venues if a else []:
+            b = (v or "").lower()
+            r = max(2 * lcs(a, b) / (len(a) + len(b)), 0.7 if any(w in a for w in b.split()) else 0)
+            scored += [(-r, catalog.LAST if pos is None else pos, j)] if b and r >= 0.6 else []
+        if scored:
+            r, _, j = min(scored)
+            want[k] = (j, round(-r, 6))
+    assert {r.k: (r.journal_id, r.ratio) for r in got} == want and len(got) == len(want)
+
+
 def test_hits_need_enough_recommendations(spark):
     rec = spark.createDataFrame([(1, "A", 1), (1, "B", 2), (2, "C", 1)], "paper_id long, journal_name string, rank int")
     act = spark.createDataFrame([(1, " b "), (2, "x"), (3, "a"), (None, "a"), (1, None)], "paper_id long, venue string")

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from folioforge.operators import bm25, retrieve
+from folioforge.operators import blocks, bm25, retrieve
 
 
 def naive_okapi(docs, query, k):
@@ -39,7 +39,9 @@ def test_empty_corpus(spark):
 
 
 def test_vectors_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(retrieve, "BLOCK", 2)
+    monkeypatch.setattr(blocks, "QUERY_ROWS", 2)
+    monkeypatch.setattr(blocks, "CORPUS_ROWS", 3)
+    monkeypatch.setattr(retrieve, "AT_ONCE", 1)
     rng = random.Random(1)
     vs = [(i, [rng.random() for _ in range(3)]) for i in range(20)] + [(99, None), (98, [1.0])]
     d = spark.createDataFrame(vs, "id long, v array<double>")
