@@ -15,6 +15,9 @@ from ..session import cut
 
 K1, B, EPSILON, DELTA = 1.5, 0.75, 0.25, 1.0
 RANGE = 50_000
+#: a term is hot if one document in so many has it, and more than ``SALTED``
+HOT_ONE_IN = 1_000
+SALTED = 50_000
 
 
 def index(docs: DataFrame, key: str, text: Column, lower: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -49,9 +52,9 @@ def okapi_topk(queries: DataFrame, qkey: str, qtext: Column, docs: DataFrame, ke
     q = query_terms(queries, qkey, qtext)
     part = F.col("qn") * F.col("idf_okapi") * F.col("tf") * (K1 + 1) / (F.col("tf") + _length_norm())
     hits = cut(
-        q.join(terms.select("term", "idf_okapi"), "term").join(postings, "term").crossJoin(F.broadcast(corpus)).groupBy(qkey, key).agg(F.round(F.sum(part), 6).alias("score"))
+        matches(q, postings, key, terms.select("term", "df", "idf_okapi"), corpus).crossJoin(F.broadcast(corpus)).groupBy(qkey, key).agg(F.round(F.sum(part), 6).alias("score"))
         .join(docs.select(key, pos), key)
-    )
+    )
     most = F.lit(k) if isinstance(k, int) else k
     scored = hits.select(qkey, key, pos, "score")
     # the first documents in corpus order that a query does not match
@@ -67,6 +70,24 @@ def okapi_topk(queries: DataFrame, qkey: str, qtext: Column, docs: DataFrame, ke
     return ranked.where(F.col("rank") <= most).select(qkey, key, "score", "rank")
 
 
+def matches(q: DataFrame, postings: DataFrame, key: str, weights: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The query terms joined to ``weights`` (term, df, ...) and to their postings.
+
+    A term in over one document in ``HOT_ONE_IN``, and in over ``SALTED`` of them, is hot: there are at most
+    ``HOT_ONE_IN`` times as many as a mean document has words, however large the corpus, so they are broadcast
+    with their number of salts, and their postings are spread over as many tasks; other terms have one.
+    """
+    each = F.greatest(F.col("n") / HOT_ONE_IN, F.lit(float(SALTED)))
+    sized = cut(weights.crossJoin(F.broadcast(corpus.select("n"))).withColumn("salts", F.ceil(F.col("df") / each).cast("int")).drop("n", "df"))
+    hot, cold = F.broadcast(sized.where("salts > 1")), sized.where("salts = 1")
+    names = F.broadcast(sized.where("salts > 1").select("term", "salts"))
+    marked = q.join(names.withColumnRenamed("salts", "_hot"), "term", "left")
+    asked = marked.where("_hot is not null").drop("_hot").join(hot, "term").unionByName(marked.where("_hot is null").drop("_hot").join(cold, "term"))
+    spread = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    held = postings.join(names, "term", "left").withColumn("salt", F.pmod(F.xxhash64(key), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    return spread.join(held, ["term", "salt"])
+
+
 def numbered(docs: DataFrame, pos: str) -> DataFrame:
     """Adds ``place``, from 1 in corpus order: counted within ranges of ``RANGE`` positions, so that no task orders all documents."""
     ranged = docs.withColumn("_b", F.floor(F.col(pos) / RANGE))

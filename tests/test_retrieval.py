@@ -32,6 +32,17 @@ def test_okapi_equals_scoring_every_document(spark):
             assert [(r.id, round(r.score, 4) + 0.0) for r in got if r.q == i] == [(a, round(b, 4) + 0.0) for a, b in naive_okapi(docs, text, 5)]
 
 
+def test_hot_terms_are_salted_without_change(spark, monkeypatch):
+    rng = random.Random(9)
+    docs = ["a a b" if i % 3 == 0 else " ".join(rng.choices("abcdefg", k=5)) for i in range(60)]
+    d = spark.createDataFrame(list(enumerate(docs)), "id long, t string").withColumn("pos", F.col("id"))
+    q = spark.createDataFrame([(0, "a b x"), (1, "a g"), (2, None)], "q long, t string")
+    monkeypatch.setattr(bm25, "SALTED", 5)
+    got = bm25.okapi_topk(q, "q", F.col("t"), d, "id", "pos", F.col("t"), 7).orderBy("q", "rank").collect()
+    for i, text in enumerate(["a b x", "a g", ""]):
+        assert [(r.id, round(r.score, 4) + 0.0) for r in got if r.q == i] == [(a, round(b, 4) + 0.0) for a, b in naive_okapi(docs, text, 7)]
+
+
 def test_empty_corpus(spark):
     d = spark.createDataFrame([], "id long, t string").withColumn("pos", F.col("id"))
     q = spark.createDataFrame([(1, "a")], "q long, t string")
