@@ -76,15 +76,3 @@ def test_overlap_search(spark):
     q = spark.createDataFrame([(7, "Deep graph nets"), (8, "")], "q long, t string")
     got = retrieve.overlap_topk(q, "q", F.col("t"), d, "id", "pos", F.col("t")).collect()
     assert [(r.q, r.id, round(r.score, 4)) for r in sorted(got, key=lambda r: r["rank"])] == [(7, 1, 0.3333), (7, 2, 0.3333)]
-
-
-def test_overlap_of_hot_words(spark, monkeypatch):
-    rng = random.Random(3)
-    docs = [" ".join(rng.choices("abcdef", k=4)) for _ in range(50)] + ["a b"] * 25
-    d = spark.createDataFrame(list(enumerate(docs)), "id long, t string").withColumn("pos", F.col("id"))
-    q = spark.createDataFrame([(1, "a b z"), (2, "F e"), (3, None)], "q long, t string")
-    monkeypatch.setattr(bm25, "SALTED", 4)
-    got = retrieve.overlap_topk(q, "q", F.col("t"), d, "id", "pos", F.col("t"), 20).orderBy("q", "rank").collect()
-    for i, words in ((1, {"a", "b", "z"}), (2, {"f", "e"}), (3, set())):
-        scored = sorted((-len(words & set(t.split())) / max(len(words), 1), j) for j, t in enumerate(docs) if words & set(t.split()))
-        assert [(r.id, r.score) for r in got if r.q == i] == [(j, round(-x, 6)) for x, j in scored[:20]]
