@@ -5,10 +5,8 @@ words below), so exact repetitions cost nothing. The q-grams are those of a name
 words outside the fixed list and below ``COMMON_ONE_IN`` of the readings; a name that has none keeps all its
 words. Bands and rows follow from the collision curve for ``SIMILARITY`` and ``RECALL``.
 
-In a band bucket all pairs are candidates up to ``SMALL_BUCKET`` readings. In a larger bucket every reading is
-verified against the bucket's hub, its most frequent reading, and those that the hub explains leave; after
-``HUB_ROUNDS`` what is left, readings that share a bucket by chance, is paired in salted blocks. No candidate
-is dropped, and a name with a third of all entries costs one comparison for each of its spellings.
+In a band bucket all pairs are candidates, whatever its size; a bucket is paired in as many tasks as it has
+times ``SMALL_BUCKET`` readings.
 
 Verified links form a graph; star clustering makes the reading with the most links (ties: the smaller id)
 the centre of a star with its neighbours, then the next among the rest, until none is left.
@@ -34,7 +32,8 @@ from ..session import cut
 Q = 3
 SIMILARITY, RECALL, HASHES = 0.4, 0.95, 160
 COMMON_ONE_IN, COMMON_LEAST = 500, 25
-SMALL_BUCKET, HUB_ROUNDS = 200, 3
+#: a bucket's pairs are made in one task for so many of its readings
+SMALL_BUCKET = 200
 LINK_AT = 0.8
 #: salts of the join that spells out a venue's pairs
 SALTS = 8
@@ -214,7 +213,7 @@ def readings(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def banded(distinct: DataFrame, rows: int, bands: int) -> DataFrame:
-    """(bucket, id, reading, n): one row for each band of each reading."""
+    """(bucket, id): one row for each band of each reading."""
     total = distinct.count()
     word = F.explode(F.array_distinct(F.split(F.regexp_replace("reading", r"\.", ""), " ")))
     # the words of one reading in COMMON_ONE_IN: a few thousand at most, whatever the size
@@ -236,16 +235,16 @@ def banded(distinct: DataFrame, rows: int, bands: int) -> DataFrame:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
-            for id_, text, n in zip(batch["id"], batch["reading"], batch["n"]):
+            for id_, text in zip(batch["id"], batch["reading"]):
                 _, tokens = _tokens(text)
                 body = [w for w, _ in tokens if w not in KINDS]
                 telling = [w for w in body if not near_common(w)] or body or [text]
                 codes = np.fromiter({xxhash.xxh32_intdigest(g) % prime for w in telling for g in grams(w)}, dtype=np.int64)
                 least = ((codes[:, None] * mul[None, :] + add[None, :]) % prime).min(axis=0).reshape(bands, rows)
-                out += [(xxhash.xxh64_intdigest(least[k].tobytes(), seed=k) - (1 << 63), id_, text, n) for k in range(bands)]
-            yield pd.DataFrame(out, columns=["bucket", "id", "reading", "n"])
+                out += [(xxhash.xxh64_intdigest(least[k].tobytes(), seed=k) - (1 << 63), id_) for k in range(bands)]
+            yield pd.DataFrame(out, columns=["bucket", "id"])
 
-    return distinct.repartition(distinct.sparkSession.sparkContext.defaultParallelism * 2).mapInPandas(sign, "bucket long, id long, reading string, n long")
+    return distinct.repartition(distinct.sparkSession.sparkContext.defaultParallelism * 2).mapInPandas(sign, "bucket long, id long")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -262,37 +261,19 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b, score), a < b: the pairs of readings that were candidates and verified."""
-    rows, bands = tune()
-    members = cut(banded(distinct, rows, bands))
-    found, blocks = [], []
-    for turn in range(HUB_ROUNDS + 1):
-        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("n", -F.col("id"), F.col("reading"))).alias("h"))
-        sizes = cut(sizes.where("size > 1").select("bucket", "size", (-F.col("h.col2")).alias("hub"), F.col("h.reading").alias("hub_reading")))
-        large = sizes.where((F.col("size") > SMALL_BUCKET) & F.lit(turn < HUB_ROUNDS))
-        blocks.append(_all_pairs(members.join(sizes.join(large, "bucket", "left_anti").select("bucket"), "bucket")))
-        if large.isEmpty():
-            break
-        against = cut(_verified(
-            members.join(large, "bucket").where("id <> hub").select("bucket", "n", F.col("hub").alias("a"), F.col("id").alias("b"), F.col("hub_reading").alias("ra"), F.col("reading").alias("rb"))
-        ))
-        found.append(against.where(F.col("score") >= LINK_AT).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score"))
-        members = against.where(F.col("score") < LINK_AT).select("bucket", F.col("b").alias("id"), F.col("rb").alias("reading"), "n")
-    todo = blocks[0]
-    for more in blocks[1:]:
-        todo = todo.unionByName(more)
+    todo = _all_pairs(cut(banded(distinct, *tune()))).distinct()
     texts = distinct.select("id", "reading")
-    pairs_ = todo.distinct().join(texts.select(F.col("id").alias("a"), F.col("reading").alias("ra")), "a").join(texts.select(F.col("id").alias("b"), F.col("reading").alias("rb")), "b")
-    out = _verified(pairs_).where(F.col("score") >= LINK_AT).select("a", "b", "score")
-    for more in found:
-        out = out.unionByName(more)
-    return cut(out.distinct())
+    pairs_ = todo.join(texts.select(F.col("id").alias("a"), F.col("reading").alias("ra")), "a").join(texts.select(F.col("id").alias("b"), F.col("reading").alias("rb")), "b")
+    return cut(_verified(pairs_).where(F.col("score") >= LINK_AT).select("a", "b", "score"))
 
 
 def _all_pairs(members: DataFrame) -> DataFrame:
-    """(a, b), a < b, of each bucket; a bucket's pairs are made in ``SALTS`` tasks."""
-    x = members.select("bucket", F.col("id").alias("a"), F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
-    y = members.select("bucket", F.col("id").alias("b"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    return x.join(y, ["bucket", "salt"]).where("a < b").select("a", "b")
+    """(a, b), a < b, of each bucket; each task pairs ``SMALL_BUCKET`` readings of a bucket with all of it."""
+    blocks = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", F.ceil(F.col("size") / SMALL_BUCKET).cast("int").alias("blocks"))
+    marked = members.join(blocks, "bucket")
+    x = marked.select("bucket", F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    y = marked.select("bucket", F.col("id").alias("b"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    return x.join(y, ["bucket", "block"]).where("a < b").select("a", "b")
 
 
 def stars(edges: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -140,6 +140,15 @@ def test_p5_hub_rounds_lose_no_link(spark, monkeypatch):
     assert p5_names.stars(p5_names.links(distinct), distinct.select("id")).count() == distinct.count()
 
 
+def test_p5_large_bucket_is_paired_in_full(spark, monkeypatch):
+    # the bucket's most frequent reading explains the first of two that are siblings, and not the second
+    names = ["Kilito Nemeke Elastic Tracing"] * 3 + ["Kilito Nemeke Elastic", "Kilito Nemeke Elastic Mapping"]
+    _, distinct = p5_names.readings(spark.createDataFrame(list(enumerate(names)), "entry_id long, journal_name string"))
+    monkeypatch.setattr(p5_names, "tune", lambda: (1, 1))
+    monkeypatch.setattr(p5_names, "SMALL_BUCKET", 1)
+    assert {(r.a, r.b) for r in p5_names.links(distinct).collect()} == {(0, 3), (3, 4)}
+
+
 # 6
 def test_p6_matches(spark):
     v = spark.createDataFrame(
