@@ -1,12 +1,14 @@
-"""Variant spellings of names: MinHash banding over padded q-grams, Monge-Elkan verification, star clustering.
+"""Variant spellings of names: exact candidates by their rarest word, Monge-Elkan verification, star clustering.
 
 Names are reduced to distinct readings first (case, spacing, outer notes and the abbreviations of the fixed
-words below), so exact repetitions cost nothing. The q-grams are those of a name's telling words, that is of
-words outside the fixed list and below ``COMMON_ONE_IN`` of the readings; a name that has none keeps all its
-words. Bands and rows follow from the collision curve for ``SIMILARITY`` and ``RECALL``.
+words below), so exact repetitions cost nothing. Two readings are linked only if each word of one of them, the
+shorter or the one with an acronym, has a similar word in the other. So each reading asks with one word, the one
+whose similar words the fewest readings have, and every reading that has one of those is its candidate: no pair
+that verification would link is left out, however frequent its words are.
 
-In a band bucket all pairs are candidates, whatever its size; a bucket is paired in as many tasks as it has
-times ``SMALL_BUCKET`` readings.
+Similar words are found by keys that they must share: beginnings, and what is left of them after as many
+deletions as they may have edits; words from ``LONG`` letters on, which would have too many, are compared with
+all words of the lengths in question. A word's readings are met in as many tasks as they are times ``SMALL_BUCKET``.
 
 Verified links form a graph; star clustering makes the reading with the most links (ties: the smaller id)
 the centre of a star with its neighbours, then the next among the rest, until none is left.
@@ -21,7 +23,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,11 +30,11 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-Q = 3
+#: the collision curve of a banding; the search of ``links`` is exact and needs none
 SIMILARITY, RECALL, HASHES = 0.4, 0.95, 160
-COMMON_ONE_IN, COMMON_LEAST = 500, 25
-#: a bucket's pairs are made in one task for so many of its readings
+#: a word's readings are met in one task for so many of them
 SMALL_BUCKET = 200
+LONG = 16
 LINK_AT = 0.8
 #: salts of the join that spells out a venue's pairs
 SALTS = 8
@@ -113,12 +114,6 @@ def _tokens(text: str) -> tuple[str, list[tuple[str, bool]]]:
     return acronym, [(p.rstrip("."), p.endswith(".")) for p in parts[bool(acronym) :]]
 
 
-def grams(word: str, q: int = Q) -> set[str]:
-    """Padded by one mark: two would make grams of a single letter, which half of all names share."""
-    padded = "#" + word + "#"
-    return {padded[i : i + q] for i in range(len(padded) - q + 1)}
-
-
 def distance(a: str, b: str, limit: int) -> int:
     """Edits with transpositions, or limit + 1 if there are more."""
     if abs(len(a) - len(b)) > limit:
@@ -212,39 +207,66 @@ def readings(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return entries, distinct
 
 
-def banded(distinct: DataFrame, rows: int, bands: int) -> DataFrame:
-    """(bucket, id): one row for each band of each reading."""
-    total = distinct.count()
-    word = F.explode(F.array_distinct(F.split(F.regexp_replace("reading", r"\.", ""), " ")))
-    # the words of one reading in COMMON_ONE_IN: a few thousand at most, whatever the size
-    common = {
-        r[0]
-        for r in distinct.select(word.alias("w")).groupBy("w").count().where(F.col("count") > max(COMMON_LEAST, total // COMMON_ONE_IN)).collect()
-    }
-    cut_words = {w[:i] for w in common for i in range(3, len(w) + 1)}
-    slips = {w[:i] + w[i + 1 :] for w in common for i in range(len(w)) if len(w) > 4}
+def word_keys(word: str) -> tuple[set[str], set[str]]:
+    """(asked, held): of two similar words of fewer than ``LONG`` letters the longer holds a key that the shorter asks for."""
+    asked, held = {"=" + word}, {"=" + word} | {"=" + word[:i] for i in range(2, len(word))}
+    if len(word) >= 4:
+        asked |= {f"{len(word)}{word[:i] + word[i + 1 :]}" for i in range(len(word))}
+        held |= {f"{n}{word[:i] + word[i + 1 : n]}" for n in range(4, len(word) + 1) for i in range(n)}
+        if len(word) < LONG:
+            last = left = {word}
+            for _ in range(len(word) // 4):
+                last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+                left = left | last
+            asked |= {"-" + w for w in left}
+            held |= {"-" + w for w in left}
+    return asked, held
+
 
-    def near_common(w: str) -> bool:
-        """A common word, its beginning, or one with a slip."""
-        return w in cut_words or len(w) > 4 and (w in slips or any(w[:i] + w[i + 1 :] in slips or w[:i] + w[i + 1 :] in common for i in range(len(w))))
+def similar_words(words: DataFrame) -> DataFrame:
+    """(x, y): every ordered pair of the distinct ``word`` that can count as similar, cut short or not; each with itself too."""
+    tasks = words.sparkSession.sparkContext.defaultParallelism * 4
 
-    rng = np.random.default_rng(7)
-    prime = (1 << 31) - 1
-    mul, add = rng.integers(1, prime, rows * bands, dtype=np.int64), rng.integers(0, prime, rows * bands, dtype=np.int64)
+    def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for word in batch["word"]:
+                asked, held = word_keys(word)
+                both = list(asked | held)
+                yield pd.DataFrame({"key": [xxhash.xxh64_intdigest(k) - (1 << 63) for k in both], "word": word, "asked": [k in asked for k in both], "held": [k in held for k in both]})
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: list[tuple] = []
-            for id_, text in zip(batch["id"], batch["reading"]):
-                _, tokens = _tokens(text)
-                body = [w for w, _ in tokens if w not in KINDS]
-                telling = [w for w in body if not near_common(w)] or body or [text]
-                codes = np.fromiter({xxhash.xxh32_intdigest(g) % prime for w in telling for g in grams(w)}, dtype=np.int64)
-                least = ((codes[:, None] * mul[None, :] + add[None, :]) % prime).min(axis=0).reshape(bands, rows)
-                out += [(xxhash.xxh64_intdigest(least[k].tobytes(), seed=k) - (1 << 63), id_) for k in range(bands)]
-            yield pd.DataFrame(out, columns=["bucket", "id"])
+            yield batch[[word_similarity((x, True), (y, True)) > 0 for x, y in zip(batch["x"], batch["y"])]]
+
+    keys = cut(words.repartition(tasks).mapInPandas(key, "key long, word string, asked boolean, held boolean"))
+    by_key = keys.where("asked").select("key", F.col("word").alias("x")).join(keys.where("held").select("key", F.col("word").alias("y")), "key")
+    size = F.length("word")
+    long_ = words.where(size >= LONG).select(F.col("word").alias("x"), F.explode(F.sequence(size - F.floor(size / 4), size)).alias("size"))
+    blocks = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    by_size = long_.withColumn("salt", blocks).join(
+        words.select(F.col("word").alias("y"), size.cast("long").alias("size"), F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int").alias("salt")), ["size", "salt"]
+    )
+    pairs_ = by_key.select("x", "y").unionByName(by_size.select("x", "y")).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    found = cut(pairs_.distinct().repartition(tasks).mapInPandas(near, "x string, y string"))
+    return found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(words.select(F.col("word").alias("x"), F.col("word").alias("y")))
 
-    return distinct.repartition(distinct.sparkSession.sparkContext.defaultParallelism * 2).mapInPandas(sign, "bucket long, id long")
+
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(a, b), a < b: every pair of readings that may be linked."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(id_, w) for id_, text in zip(batch["id"], batch["reading"]) for w in {w for w, _ in _tokens(text)[1]}], columns=["id", "word"])
+
+    words = cut(distinct.select("id", "reading").mapInPandas(split, "id long, word string"))
+    held = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    similar = cut(similar_words(held.select("word")).join(held.select(F.col("word").alias("y"), "n"), "y"))
+    met = similar.groupBy(F.col("x").alias("word")).agg(F.sum("n").alias("met"))
+    rarest = words.where(~F.col("word").isin(*KINDS)).join(met, "word").groupBy("id").agg(F.min_by("word", F.struct("met", "word")).alias("x"))
+    blocks = F.ceil(F.col("n") / SMALL_BUCKET).cast("int")
+    ask = rarest.join(similar, "x").select(F.col("id").alias("a"), F.col("y").alias("word"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    give = words.join(held, "word").select("word", F.col("id").alias("b"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    return ask.join(give, ["word", "block"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -261,21 +283,12 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b, score), a < b: the pairs of readings that were candidates and verified."""
-    todo = _all_pairs(cut(banded(distinct, *tune()))).distinct()
+    todo = cut(candidates(distinct)).repartition(distinct.sparkSession.sparkContext.defaultParallelism * 4)
     texts = distinct.select("id", "reading")
     pairs_ = todo.join(texts.select(F.col("id").alias("a"), F.col("reading").alias("ra")), "a").join(texts.select(F.col("id").alias("b"), F.col("reading").alias("rb")), "b")
     return cut(_verified(pairs_).where(F.col("score") >= LINK_AT).select("a", "b", "score"))
 
 
-def _all_pairs(members: DataFrame) -> DataFrame:
-    """(a, b), a < b, of each bucket; each task pairs ``SMALL_BUCKET`` readings of a bucket with all of it."""
-    blocks = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", F.ceil(F.col("size") / SMALL_BUCKET).cast("int").alias("blocks"))
-    marked = members.join(blocks, "bucket")
-    x = marked.select("bucket", F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    y = marked.select("bucket", F.col("id").alias("b"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    return x.join(y, ["bucket", "block"]).where("a < b").select("a", "b")
-
-
 def stars(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(id, star): greedy star cover. A vertex that outranks all its open neighbours becomes a centre; its open
     neighbours join the best centre they touch; the rest goes on. Each round settles at least one vertex of every

@@ -149,6 +149,33 @@ def test_p5_large_bucket_is_paired_in_full(spark, monkeypatch):
     assert {(r.a, r.b) for r in p5_names.links(distinct).collect()} == {(0, 3), (3, 4)}
 
 
+def test_p5_frequent_names_miss_no_link(spark):
+    rng = random.Random(6)
+    topics = ["Quantised Gesture Interfaces", "Dynamic Traffic Shaping", "Elastic Anomaly Tracing", "Bounded Robot Theory", "Interoperabilisation of Streaming Data", "Sparse Query Engines"]
+    names = {"Dugirifefako QGI", "DTSI (Dugirifefako)", "EAT Dugirifefako"}
+    for place in ["Dugirifefako"] * 3 + ["Roputu Vatelo"]:  # in far more than 25 readings
+        for topic in topics:
+            name = f"{place} {topic}"
+            names |= {name, f"Journal of {topic}, {place} Institute", name.rsplit(" ", 1)[0], f"{name[:4]}. {topic}"}
+            for _ in range(4):  # slips, doubled, dropped and exchanged letters
+                i, j = sorted(rng.sample(range(1, len(name) - 2), 2))
+                names.add(name[:i] + name[i + 1] + name[i] + name[i + 2 : j] + rng.choice("xyz") + name[j + 1 :])
+                names.add(name[:i] + name[i:j] + name[j + 1 :])
+                names.add(name[:i] + name[i] + name[i:])
+    _, distinct = p5_names.readings(spark.createDataFrame(list(enumerate(sorted(names))), "entry_id long, journal_name string"))
+    rows = sorted((r.id, r.reading) for r in distinct.collect())
+    want = {(i, j) for i, x in rows for j, y in rows if i < j and p5_names.name_similarity(x, y) >= p5_names.LINK_AT}
+    assert {(r.a, r.b) for r in p5_names.links(distinct).collect()} == want
+
+
+def test_p5_similar_words_equal_brute_force(spark):
+    rng = random.Random(7)
+    words = {"".join(rng.choices("ab", k=rng.randint(1, 18))) for _ in range(250)} | {"interoperabilisation", "interoperabilization", "interoperabilisatoin", "interop", "nteroperabilisaton"}
+    got = p5_names.similar_words(spark.createDataFrame([(w,) for w in sorted(words)], "word string")).collect()
+    assert len(got) == len(set(got))
+    assert {tuple(r) for r in got} == {(x, y) for x in words for y in words if p5_names.word_similarity((x, True), (y, True)) > 0}
+
+
 # 6
 def test_p6_matches(spark):
     v = spark.createDataFrame(
