@@ -1,8 +1,8 @@
 """Matching entities across sources without keys: collective graph linkage.
 
 Listings and catalogue venues share attributes: parts of the name, publisher and address. Every shared
-attribute is an edge's evidence, weighted by its rarity in the catalogue; an attribute that over
-``OVERSIZED`` venues have opens no edge of its own (each name also has a key of all its words, which stays). Meta-blocking keeps, for each listing, the
+attribute opens edges and is their evidence, weighted by its rarity in the catalogue; one that many venues have
+is met in as many tasks as they are times ``OVERSIZED``. Meta-blocking keeps, for each listing, the
 edges with at least ``KEEP`` of its strongest edge's weight. The edges left are compared in full, and their
 confidence is refined in rounds: publishers and hosts of both sides become similar in so far as the venues
 matched between them are, and that similarity counts as evidence for their other venues, until nothing moves.
@@ -99,9 +99,11 @@ def candidate_edges(listing: DataFrame, venue: DataFrame) -> DataFrame:
     total = venue.select("journal_id").distinct().count()
     held = cut(venue.select("journal_id", F.explode("keys").alias("k")).distinct())
     asked = listing.select("listing_id", F.explode("keys").alias("k")).distinct()
-    rare = held.groupBy("k").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") <= OVERSIZED) | F.col("k").startswith("a:"))
-    weighted = rare.select("k", F.log(F.lit(float(total + 1)) / F.col("df")).alias("w"))
-    edges = asked.join(weighted, "k").join(held, "k").groupBy("listing_id", "journal_id").agg(F.sum("w").alias("weight"))
+    blocks = F.ceil(F.col("df") / OVERSIZED).cast("int")
+    weighted = cut(held.groupBy("k").agg(F.count(F.lit(1)).alias("df")).select("k", F.log(F.lit(float(total + 1)) / F.col("df")).alias("w"), blocks.alias("blocks")))
+    ask = asked.join(weighted, "k").select("k", "listing_id", "w", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    give = held.join(weighted, "k").select("k", "journal_id", F.pmod(F.xxhash64("journal_id"), F.col("blocks")).cast("int").alias("block"))
+    edges = ask.join(give, ["k", "block"]).groupBy("listing_id", "journal_id").agg(F.sum("w").alias("weight"))
     top = edges.groupBy("listing_id").agg(F.max("weight").alias("top"))
     return edges.join(top, "listing_id").where(F.col("weight") >= KEEP * F.col("top")).select("listing_id", "journal_id")
 

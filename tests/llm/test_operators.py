@@ -190,6 +190,14 @@ def test_p6_matches(spark):
     assert p6_link.matches(l.limit(0), v).count() == 0
 
 
+def test_p6_frequent_keys_open_edges(spark, monkeypatch):
+    v = spark.createDataFrame([(f"j{i}", f"Graph Mining Theory {w}", None, None) for i, w in enumerate(("Dasete", "Kilito", "Nemeke", "Roputu", "Vatelo"))], "journal_id string, journal_name string, publisher string, homepage_url string")
+    l = spark.createDataFrame([(1, "Graph Mining Theory", None, None), (2, "Graph Mining Theory Roputu", None, None)], "listing_id long, journal_name string, publisher string, homepage_url string")  # noqa: E741
+    monkeypatch.setattr(p6_link, "OVERSIZED", 2)  # each pair of words is held by more venues
+    got = p6_link.candidate_edges(p6_link.attributes(l, "listing_id"), p6_link.attributes(v, "journal_id")).collect()
+    assert {(r.listing_id, r.journal_id) for r in got} >= {(1, f"j{i}") for i in range(5)} | {(2, "j3")} and len(got) == len(set(got))
+
+
 # 7
 def test_p7_configurations_cover_demand():
     rng = random.Random(4)
