@@ -14,6 +14,7 @@ attributes are no evidence; a listing without a name is matched to nothing. Rows
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,7 +27,8 @@ from .p5_names import KINDS, _tokens, distance, name_similarity, reading
 OVERSIZED = 200
 KEEP = 0.4
 ACCEPT = 0.5
-ROUNDS, STABLE = 6, 0.01
+#: moves below STABLE are none; rounds that are not stable after ROUNDS, or come round again, are reported
+ROUNDS, STABLE = 200, 0.01
 SURE, NEIGHBOURS = 0.8, 3.0
 #: a host of listings of more of the catalogue's publishers than this, and of no venue, is a portal
 PORTAL = 2
@@ -174,7 +176,8 @@ def matches(listings: DataFrame, venues: DataFrame) -> DataFrame:
     listing, venue = cut(attributes(listings, "listing_id").where("name <> ''")), cut(attributes(venues, "journal_id").where("name <> ''"))
     edges = cut(compared(candidate_edges(listing, venue), listing, venue).where("name > 0 or same_page > 0"))
     scored = cut(edges.withColumn("conf", _confidence(F.col("pub"), F.col("site"))))
-    for _ in range(ROUNDS):
+    states = set()
+    for turn in range(1, ROUNDS + 1):
         near = []
         for a, b in (("lp", "vp"), ("lh", "vh")):
             # what two owners share: their sure matches among all candidates of that owner's listings, held back by NEIGHBOURS
@@ -188,9 +191,14 @@ def matches(listings: DataFrame, venues: DataFrame) -> DataFrame:
             scored.withColumn("was", F.col("conf")).join(near[0], ["lp", "vp"], "left").join(near[1], ["lh", "vh"], "left")
             .withColumn("conf", _confidence(F.when(F.col("pub") < 0, pub).otherwise(F.col("pub")), site)).drop("near_lp", "near_lh")
         )
-        moved = again.agg(F.max(F.abs(F.col("conf") - F.col("was")))).first()[0] or 0.0
+        state = F.sum(F.xxhash64("listing_id", "journal_id", F.round("conf", 6)).cast("decimal(38,0)"))
+        moved, state = again.agg(F.coalesce(F.max(F.abs(F.col("conf") - F.col("was"))), F.lit(0.0)), state).first()
         scored = again.drop("was")
         if moved < STABLE:
             break
+        if turn == ROUNDS or state in states:
+            warnings.warn(f"confidence is not stable after {turn} rounds: the last moved it by up to {moved:.4f}", RuntimeWarning, stacklevel=2)
+            break
+        states.add(state)
     best = scored.where((F.col("conf") >= ACCEPT) & (F.col("name") > 0)).groupBy("listing_id").agg(F.min_by(F.struct("journal_id", "conf"), F.struct(-F.col("conf"), "journal_id")).alias("b"))
     return best.select("b.journal_id", "listing_id", F.round("b.conf", 4).alias("confidence"))

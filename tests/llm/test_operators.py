@@ -198,6 +198,17 @@ def test_p6_frequent_keys_open_edges(spark, monkeypatch):
     assert {(r.listing_id, r.journal_id) for r in got} >= {(1, f"j{i}") for i in range(5)} | {(2, "j3")} and len(got) == len(set(got))
 
 
+@pytest.mark.filterwarnings("error:confidence is not stable")
+def test_p6_says_when_confidence_is_not_stable(spark, monkeypatch):
+    names = [f"Annals of {a} {b} Graph Mining" for a in ("Elastic", "Bounded", "Sparse") for b in ("Robot", "Query")]
+    v = spark.createDataFrame([(f"j{i}", n, "Alpha Press", f"https://www.alphapress.example/p{i}x") for i, n in enumerate(names)], "journal_id string, journal_name string, publisher string, homepage_url string")
+    l = spark.createDataFrame([(i, n, "Gammaray House", f"https://www.alphapress.example/p{i}x" if i % 2 else None) for i, n in enumerate(names)], "listing_id long, journal_name string, publisher string, homepage_url string")  # noqa: E741
+    assert p6_link.matches(l, v).count() == len(names)
+    monkeypatch.setattr(p6_link, "ROUNDS", 1)
+    with pytest.warns(RuntimeWarning, match="not stable after 1 rounds"):
+        p6_link.matches(l, v)
+
+
 # 7
 def test_p7_configurations_cover_demand():
     rng = random.Random(4)
