@@ -125,25 +125,30 @@ _KEY = " || '|' || ".join(
 
 
 def _survivor_sql() -> str:
-    """The stated rule alone: what the model's choice must come to."""
+    """The stated rule alone, with boilerplate told by its spread over the venues: what the model's choice must come to."""
     one = "list_filter([{f}], lambda x: x IS NOT NULL AND trim(x) <> '')"
     many = "list_distinct(list_filter(coalesce({f}, []), lambda x: x IS NOT NULL AND trim(x) <> ''))"
     union = " UNION ALL ".join(
         f"SELECT journal_id, pos, fetched_at, tr, '{f}' AS field_name, {(many if f in p3_survivor.LISTS else one).format(f=f)} AS el FROM g" for f in p3_survivor.FIELDS
     )
-    plain = "regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', '', 'g')"
-    words = "[" + ", ".join(f"'{w}'" for w in p3_survivor.PLACEHOLDERS) + "]"
-    filler = p3_survivor.FILLER
+    m = p3_survivor
     return f"""
         WITH many AS (SELECT journal_id FROM venues WHERE journal_id IS NOT NULL GROUP BY journal_id HAVING count(*) > 1),
         tr AS (SELECT source, min(trust_rank) AS tr FROM feeds GROUP BY source),
         g AS (SELECT v.*, tr FROM venues v JOIN many USING (journal_id) LEFT JOIN tr USING (source)),
         e AS (SELECT *, array_to_string(list_sort(el), chr(31)) AS value FROM ({union})),
-        shared AS (SELECT value FROM e WHERE field_name = 'scope_text' AND len(el) > 0 GROUP BY value HAVING count(DISTINCT journal_id) >= {p3_survivor.SHARED_BY}),
-        ok AS (SELECT * FROM e WHERE len(el) > 0 AND len(list_filter(el, lambda x: NOT (list_contains({words}, {plain}) OR regexp_matches({plain}, '^keyword\\d+$')))) > 0
-            AND NOT regexp_matches(value, '[�\\x00-\\x08]')
-            AND (field_name <> 'scope_text' OR (NOT regexp_matches(value, '{filler}') AND value NOT IN (SELECT value FROM shared)
-                AND regexp_matches(rtrim(value), '[.!?。！？]["''”’»)\\]]*$') AND NOT regexp_matches(rtrim(value), '(\\.\\.|…|\\[more\\])$')))
+        d AS (SELECT DISTINCT journal_id, field_name, value, list_sort(el) AS el FROM e WHERE len(el) > 0),
+        shared AS (SELECT field_name, value FROM d JOIN (SELECT field_name, count(DISTINCT journal_id) AS nv FROM d GROUP BY field_name) USING (field_name)
+            WHERE field_name <> 'subject_tags' GROUP BY field_name, value, nv HAVING count(*) >= greatest({m.SHARED_BY}, {m.SHARED_SHARE} * nv)),
+        x AS (SELECT journal_id, field_name, value, len(el) > 1 AS m, unnest(el) AS x FROM d WHERE field_name IN ('subject_tags', 'keywords')),
+        c AS (SELECT field_name, x, count(*) AS nv, avg(m) AS w FROM (SELECT field_name, x, journal_id, max(m::INT) AS m FROM x GROUP BY ALL) GROUP BY ALL),
+        l AS (SELECT field_name, x, max(n) AS most FROM (SELECT field_name, x, value, count(*) AS n FROM x GROUP BY ALL) GROUP BY ALL),
+        odd AS (SELECT field_name, x FROM c JOIN l USING (field_name, x) WHERE nv >= {m.SUPPORT} AND (w < {m.COMPANY} OR most >= {m.MIXED} * nv)),
+        stock AS (SELECT x.journal_id, x.field_name, x.value FROM x LEFT JOIN odd USING (field_name, x) GROUP BY ALL HAVING count(*) = count(odd.x)),
+        ok AS (SELECT * FROM e WHERE len(el) > 0 AND NOT regexp_matches(value, '[�\\x00-\\x08]')
+            AND NOT EXISTS (SELECT 1 FROM shared s WHERE s.field_name = e.field_name AND s.value = e.value)
+            AND NOT EXISTS (SELECT 1 FROM stock s WHERE s.journal_id = e.journal_id AND s.field_name = e.field_name AND s.value = e.value)
+            AND (field_name <> 'scope_text' OR (regexp_matches(rtrim(value), '[.!?。！？]["''”’»)\\]]*$') AND NOT regexp_matches(rtrim(value), '(\\.\\.|…|\\[more\\])$')))
             AND (field_name <> 'submission_url' OR regexp_matches(trim(el[1]), '(?i)^(https?|ftp)://[^\\s/.?#]+(\\.[^\\s/.?#]+)+([/?#]\\S*)?$'))
             AND NOT EXISTS (SELECT 1 FROM e o WHERE o.journal_id = e.journal_id AND o.field_name = e.field_name AND o.value <> e.value AND (
                 (e.field_name = 'scope_text' AND starts_with(o.value, e.value))

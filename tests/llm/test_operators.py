@@ -87,6 +87,8 @@ def test_p3_survivor(spark):
         (7, "c", "n", "p", ["other"], None, "", "#", None, None, None, "e"),
         (8, None, "n", "p", ["ai"], ["k"], whole, "https://y.example", None, "s1", day(1), "e"),
     ] + [(100 + i, f"g{i // 2}", "n", "p", ["ai", f"t{i // 2}"], ["k", f"w{i}"], f"{whole} Number {i // 2}.", f"https://z{i // 2}.example/s", None, f"s{1 + i % 2}", day(1 + i % 20), "e") for i in range(60)]
+    # what stands where a value should be is known by its spread over unrelated venues
+    rows += [(200 + i, f"g{i}", "n", "p", ["other"], ["n/a"], "N/A", "404", None, "s1", day(3), "e") for i in range(20)]
     feeds = spark.createDataFrame([("s1", 1), ("s2", 2)], FEEDS)
     got = {(r.journal_id, r.field_name): r.pos for r in p3_survivor.survivors(spark.createDataFrame(rows, VENUES), feeds).collect()}
     assert {k: v for k, v in got.items() if k[0] in "abc"} == {("a", "scope_text"): 1, ("a", "submission_url"): 4, ("a", "subject_tags"): 3, ("a", "keywords"): 1}
@@ -95,6 +97,25 @@ def test_p3_survivor(spark):
     assert p3_survivor.survivors(spark.createDataFrame([], VENUES), feeds).count() == 0
 
 
+def test_p3_model_decides(spark):
+    """Boilerplate that two venues' names happen to speak of: the share of signals is undecided, the fitted model is not."""
+    import datetime as dt
+
+    rows = []
+    for i in range(60):
+        topic = f"{chr(97 + i // 26)}{chr(97 + i % 26)}topic"
+        for j in range(3):
+            stock = (i + j) % 3 == 0
+            name = "Journal of Pages" if i % 20 == 0 else f"Journal of {topic}"
+            text = "Under construction, see the pages of the publisher." if stock else f"The venue publishes research on {topic}, edition {j % 2}. It is read widely."
+            rows.append((3 * i + j, f"v{i}", name, "p", None, None, text, None, None, f"s{j}", dt.datetime(2030, 1, 1 + (9 if stock else j)), "e"))
+    v, feeds = spark.createDataFrame(rows, VENUES), spark.createDataFrame([(f"s{j}", j) for j in range(3)], FEEDS)
+    stock = {r[0] for r in rows if r[6].startswith("Under")}
+    got, off = ({r.pos for r in p3_survivor.survivors(v, feeds, n).collect()} for n in (p3_survivor.ROUNDS, 0))
+    assert len(got) == 60 and not got & stock
+    assert off & stock
+
+
 # 4
 def test_p4_copies(spark):
     rec = lambda i, n: f'{{"journal_id":"{i}","journal_name":"{n}","publisher":null,"oa_type":"x"}}'
