@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where the session names none (tests), a fresh one of its own."""
+    """The folder in ``spark.checkpoint.dir``; where a local session names none (tests), a fresh one of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("folioforge.scratch", None)
         if not path:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             path = "file://" + tempfile.mkdtemp(prefix="spark-")
             spark.conf.set("folioforge.scratch", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -27,11 +30,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back, so that its plan and its loss are both short."""
+def cut(df: DataFrame, after: Sequence[DataFrame] = ()) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back, so that its plan and its loss are both short.
+
+    ``after`` names tables of earlier cuts that nothing reads once this one is written; they are removed.
+    """
     path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for old in after:
+        remove(df.sparkSession, old.folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder that ``scratch`` named."""
+    if not folder.startswith(shared_dir(spark) + "/"):
+        raise ValueError(f"{folder} is not below the shared folder")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,3 +80,24 @@ def lookup(facts: DataFrame, dim: DataFrame, keys: list[str], count: str, total:
         marked.where("_hot").drop("_hot").join(F.broadcast(hot), keys)
         .unionByName(marked.where("_hot is null").drop("_hot").join(cold, keys))
     )
+
+
+#: copies of the small side of ``spread_left``, and its rows up to which it is broadcast
+SALTS, BROADCAST_ROWS = 8, 100_000
+
+
+def spread_left(facts: DataFrame, dim: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Left join with a table that has one row for each key, in ``SALTS`` parts by the fact column ``by``.
+
+    Facts with a null or empty key match nothing and are spread evenly. A table that is counted and found small is
+    broadcast; otherwise it is copied for each part, being small beside the facts.
+    """
+    if dim.select(F.lit(1)).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return facts.join(F.broadcast(dim), keys, "left")
+    known = F.lit(True)
+    for k in keys:
+        known = known & (F.coalesce(F.col(k).cast("string"), F.lit("")) != "")
+    apart = F.when(known, F.lit("")).otherwise(F.col(by).cast("string"))
+    salted = dim.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))).withColumn("_apart", F.lit(""))
+    met = facts.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).withColumn("_apart", apart)
+    return met.join(salted, [*keys, "_salt", "_apart"], "left").drop("_salt", "_apart")
