@@ -1,11 +1,17 @@
 """Mapping free-entered values to a canonical list: a trie of reference phrases searched with an edit automaton.
 
-Every phrase of an entry (label, label_zh, aliases, and the thesaurus groups that share a phrase with it) is a
-path of the trie, once in its own and once in sorted word order. The automaton's state is the row of edit
-distances (insertion, deletion, substitution, transposition) of the value against the path walked so far; a
-branch is left as soon as no continuation can stay within the distance allowed for the value's length. All
-entries within that distance are returned; the nearest is the match, ties going to the list's own phrases, then
-to the smaller entry_id. Words cut by a full stop may end anywhere in the word of a path.
+The phrases of an entry (label, label_zh, aliases) are paths of the trie, in their own and in sorted word order.
+Alias paths are derived from them: the parts that a phrase lists, each alone and two in either order; what is left of
+a phrase's sound without its ending, so that languages that spell a word apart meet; initials. Further alias paths
+come from ``groups`` of names of one subject, by default the words of the catalogue's own tagging rules; a group
+belongs to the entry that has most of its names. No other knowledge of subjects is built in: a name that shares
+nothing with its entry's phrases is ``unmatched`` unless a group gives it.
+
+The automaton's state is the row of edit distances (insertion, deletion, substitution, transposition) of the value
+against the path walked so far, kept within the distance allowed for the value's length; a branch is left as soon
+as no continuation can stay within it. All entries within that distance are returned; the nearest is the match, ties
+going to the list's own phrases, then to the smaller entry_id. Words cut short may end anywhere in the word of a path.
+A value that lists several things means the entry that all of them name, or that one names if the others name none.
 
 Distinct values are mapped once, whatever their number of rows. Null and blank values have no row; values
 without a letter or digit, and those that nothing is near to, are ``unmatched``. An empty list leaves all
@@ -15,6 +21,7 @@ values unmatched. Repeated elements of a record count once.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 
@@ -22,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.catalog import SUBJECT_RULES, TAXONOMY
 from ..session import cut, lookup
 
 UNMATCHED = "unmatched"
@@ -29,57 +37,23 @@ UNMATCHED = "unmatched"
 SHARD = 20_000
 #: (length of the compact value, distance allowed from that length on)
 ALLOWED = ((0, 0), (4, 1), (8, 2), (16, 3))
-#: fixed values: words around a value that say nothing about it
+#: ranks of the paths, and what the derived ones add to the distance
+OWN, ALIAS, PART, GROUP = 0, 1, 2, 3
+#: fixed values: words around a value that say nothing about it, in general use
 LEADING = ("mainly", "mostly", "especially", "esp", "chiefly", "the field of", "field of", "area of", "topics in")
 TRAILING = ("etc", "and others", "and related areas", "research", "领域", "研究", "学科")
 SMALL_WORDS = ("and", "of", "the", "in", "for", "und", "et", "y", "de")
-#: fixed values: names of one subject, from general knowledge; a group belongs to each entry that has one of its names
-THESAURUS = (
-    ("artificial intelligence", "AI", "machine intelligence", "intelligence artificielle", "Künstliche Intelligenz", "KI",
-     "inteligencia artificial", "artifical inteligence", "AI and machine learning", "AI/ML", "machine learning", "deep learning",
-     "neural networks", "人工智能", "机器学习", "深度学习", "人工智能与学习"),
-    ("computer vision", "vision", "comp vision", "CV", "CV images", "machine vision", "image understanding", "visual recognition",
-     "maschinelles Sehen", "vision par ordinateur", "计算机视觉", "图像识别"),
-    ("natural language processing", "NLP", "language technology", "computational linguistics", "text understanding",
-     "Sprachverarbeitung", "Computerlinguistik", "traitement des langues", "自然语言处理", "语言处理"),
-    ("software engineering", "software", "SW eng", "softw eng", "softw engineering", "programming lang", "SE", "Softwaretechnik", "génie logiciel", "program construction",
-     "software development", "software and languages", "programming languages", "SE/PL", "compilers and software",
-     "compilers", "软件工程", "软件与语言", "编程语言"),
-    ("computer networks", "computer networking", "networks", "networking", "network and communications", "net comms",
-     "nets comms", "data communications", "Rechnernetze", "réseaux informatiques", "internet protocols",
-     "wireless and wired networks", "网络与通信", "网络通信", "计算机网络"),
-    ("information security", "security", "cyber security", "infosec", "IT security", "IT-Sicherheit", "data protection and crypto",
-     "cryptography", "crypto and privacy", "sec and priv", "sécurité informatique", "信息安全", "隐私安全", "网络安全"),
-    ("databases", "database", "DB", "DBMS", "data bases", "data management", "relational systems", "Datenbanken", "bases de données",
-     "data management and search", "DB/DM/IR", "databases and search", "data mining", "information retrieval", "数据库", "数据挖掘",
-     "信息检索"),
-    ("theory of computation", "theory", "TCS", "theoretical CS", "theoretical informatics", "theoretical computer science",
-     "theoretische Informatik", "complexity and automata", "logic and automata", "algorithms and complexity", "algorithms",
-     "计算理论", "理论计算机", "理论计算机科学"),
-    ("computer graphics", "graphics", "comp graphics", "CG", "rendering", "Computergrafik", "infographie", "multimedia and graphics", "CG and MM",
-     "multimedia", "rendering and video", "image processing", "计算机图形学", "图形学", "图形多媒体", "多媒体"),
-    ("human computer interaction", "human-computer interact", "HCI", "interaction design", "usability", "user interfaces", "Mensch-Computer-Interaktion",
-     "human-centered computing", "human-centred computing", "human-centered comp", "pervasive computing", "ubiquitous computing",
-     "ubicomp", "人机交互", "普适计算"),
-    ("robots", "robotics", "robot systems", "autonomous robots", "Robotik", "robotica", "robotique", "robot control",
-     "control of manipulators", "autonomous machines", "机器人学", "机器人", "机器人控制"),
-    ("computational biology", "bioinformatics", "bioinfo", "bio-informatics", "Bioinformatik", "genome informatics", "comp bio",
-     "health informatics", "medical informatics", "medical computing", "生物信息学", "生物医学计算"),
-    ("computer hardware", "hardware", "HW", "circuits and chips", "VLSI", "chip design", "Rechnerhardware", "硬件", "芯片设计"),
-    ("architecture and storage", "computer architecture", "comp arch", "computer arch and storage", "computer organization",
-     "processors memory and disks", "HPC and storage systems", "storage systems", "体系结构", "体系结构/存储", "计算机体系结构"),
-    ("parallel computing", "parallel", "HPC", "high performance computing", "supercomputing", "parallel comp",
-     "Parallelrechnen", "并行计算", "高性能计算"),
-    ("computing education", "education", "teaching computing", "CS education", "computer science education", "teaching of programming",
-     "programming pedagogy", "informatics didactics", "informatics teaching", "educational computing", "Didaktik der Informatik",
-     "计算机教育", "计算教育", "编程教学"),
-    ("speech processing", "speech", "spoken language", "voice recognition", "speech recognition", "audio and speech",
-     "语音处理", "语音识别"),
-    ("cross-disciplinary computing", "interdisciplinary", "interdisciplinary topics", "cross-field topics", "emerging areas",
-     "emerging topics", "inter-disciplinary new", "交叉学科", "新兴交叉", "交叉新兴"),
-    ("quantum information processing", "quantum computing", "quantum algorithms", "quantum comp", "quantum information",
-     "QC", "qubits and gates", "Quantencomputing", "量子信息", "量子计算"),
-)
+#: what joins the things that a phrase lists
+JOINTS = re.compile(r"[,;/&、，；]|\b(?:and|und|et|y)\b|[与和及]")
+#: fixed values: spellings of one sound, in this order, and endings that say nothing of the subject
+SOUNDS = (("ph", "f"), ("sch", "s"), ("ck", "k"), ("qu", "k"), ("c", "k"), ("q", "k"), ("y", "i"), ("z", "s"))
+ENDINGS = re.compile(r"(?:iks?|ike|ings?|ers?|es|e|s)$")
+
+
+def default_groups() -> list[tuple[str, ...]]:
+    """The names that the catalogue's tagging rules hold for one subject."""
+    rules = dict(SUBJECT_RULES)
+    return [(tag, *names, *rules.get(tag, ())) for tag, names in TAXONOMY.items()]
 
 
 def words(text: str) -> list[str]:
@@ -96,6 +70,35 @@ def _ordered(ws: list[str]) -> str:
     return "".join(sorted(w for w in ws if w not in SMALL_WORDS))
 
 
+def _sound(ws: list[str]) -> str:
+    """How the words sound, without the last one's ending; nothing if too little is left to tell them by."""
+    text = unicodedata.normalize("NFKD", "".join(w for w in ws if w not in SMALL_WORDS))
+    text = "".join(c for c in text if not unicodedata.combining(c))
+    for spelling, sound in SOUNDS:
+        text = text.replace(spelling, sound)
+    text = ENDINGS.sub("", text)
+    return text if len(text) >= 5 else ""
+
+
+def _initials(ws: list[str]) -> str:
+    ws = [w for w in ws if w not in SMALL_WORDS]
+    return "".join(w[0] for w in ws) if len(ws) > 1 else ws[0] if ws and len(ws[0]) == 2 else ""
+
+
+def _listed(phrase: str) -> list[str]:
+    """The things that a phrase lists, if they are several."""
+    found = [x.strip() for x in JOINTS.split(phrase) if x.strip()]
+    return found if len(found) > 1 else []
+
+
+def _derived(phrase: str) -> list[str]:
+    """The things that a phrase lists, also with the last one's noun, and what stands before an ``of``."""
+    listed = _listed(phrase)
+    noun = words(listed[-1])[-1:] if listed else []
+    shared = [" ".join([*words(x), *noun]) for x in listed[:-1] if noun and noun != words(x)[-1:]]
+    return [*listed, *shared, *(x.split(" of ")[0] for x in (phrase, *listed) if " of " in x)]
+
+
 def allowed(text: str) -> int:
     return max(d for least, d in ALLOWED if len(text) >= least)
 
@@ -113,23 +116,35 @@ class Trie:
         ends = node.setdefault("", {})
         ends[entry] = min(rank, ends.get(entry, rank))
 
-    def search(self, text: str, limit: int) -> list[tuple[int, int, str]]:
-        """(distance, rank, entry) of every entry with a path within ``limit`` edits of ``text``."""
+    def search(self, text: str, limit: int, begun: bool = False) -> list[tuple[int, int, str]]:
+        """(distance, rank, entry) of every entry with a path within ``limit`` edits of ``text``; of a row only the places within ``limit`` of the diagonal are kept. ``begun``: paths that go on are met too."""
         found: list[tuple[int, int, str]] = []
-        first = list(range(len(text) + 1))
-        stack = [(node, c, first, None, "") for c, node in self.root.items() if c]
+        n, far = len(text), limit + 1
+        first = [j if j <= limit else far for j in range(n + 1)]
+        stack = [(node, c, 1, first, None, "") for c, node in self.root.items() if c]
         while stack:
-            node, c, above, above2, before = stack.pop()
-            row = [above[0] + 1]
-            for j, t in enumerate(text, 1):
-                d = min(row[j - 1] + 1, above[j] + 1, above[j - 1] + (t != c))
-                if above2 is not None and j > 1 and t == before and text[j - 2] == c:
-                    d = min(d, above2[j - 2] + 1)
-                row.append(d)
-            if row[-1] <= limit and "" in node:
-                found += [(row[-1], rank, e) for e, rank in node[""].items()]
-            if min(row) <= limit or min(above) <= limit - 1:
-                stack += [(child, k, row, above, c) for k, child in node.items() if k]
+            node, c, depth, above, above2, before = stack.pop()
+            row = [far] * (n + 1)
+            low, high, best = max(0, depth - limit), min(n, depth + limit), far
+            for j in range(low, high + 1):
+                if j == 0:
+                    d = depth
+                else:
+                    d = above[j - 1] + (text[j - 1] != c)
+                    if row[j - 1] < d:
+                        d = min(d, row[j - 1] + 1)
+                    if above[j] < d:
+                        d = min(d, above[j] + 1)
+                    if above2 is not None and j > 1 and text[j - 1] == before and text[j - 2] == c:
+                        d = min(d, above2[j - 2] + 1)
+                if d <= limit:
+                    row[j] = d
+                    if d < best:
+                        best = d
+            if row[n] <= limit:
+                found += [(row[n], rank, e) for end in (self._ends(node) if begun else [node] if "" in node else []) for e, rank in end[""].items()]
+            if best <= limit or min(above[max(0, low - 1) : high + 1], default=far) <= limit - 1:
+                stack += [(child, k, depth + 1, row, above, c) for k, child in node.items() if k]
         return found
 
     def search_cut(self, parts: list[str]) -> list[tuple[int, int, str]]:
@@ -146,6 +161,15 @@ class Trie:
             nodes = ends
         return [(1, rank, e) for node in nodes for e, rank in node[""].items()]
 
+    @staticmethod
+    def _ends(node: dict) -> list[dict]:
+        ends, stack = [], [node]
+        while stack:
+            at = stack.pop()
+            ends += [at] if "" in at else []
+            stack.extend(child for c, child in at.items() if c)
+        return ends
+
     @staticmethod
     def _walk(node: dict, part: str) -> dict | None:
         for c in part:
@@ -156,23 +180,41 @@ class Trie:
 
 
 class Matcher:
-    """The tries of one vocabulary: compact paths, and paths with spaces for words that are cut short."""
+    """The tries of one vocabulary: compact paths, paths by sound, and paths with spaces for words that are cut short."""
 
-    def __init__(self, entries: list[tuple[str, str, str, list[str]]]):
-        self.near, self.cut = Trie(), Trie()
+    def __init__(self, entries: list[tuple[str, str, str, list[str]]], groups: list[tuple[str, ...]] | None = None):
+        self.near, self.sound, self.cut, self.initials = Trie(), Trie(), Trie(), {}
+        named: dict[str, set[str]] = {}
+        groups = default_groups() if groups is None else groups
         for entry, label, zh, aliases in entries:
-            phrases = {p: 0 for p in (label, zh) if p} | {a: 1 for a in aliases or () if a}
-            own = {_ordered(words(p)) for p in phrases}
-            for group in THESAURUS:
-                if own & {_ordered(words(g)) for g in group}:
-                    phrases = {g: 2 for g in group} | phrases
+            phrases = {p: OWN for p in (label, zh) if p} | {a: ALIAS for a in aliases or () if a}
+            listed = list(dict.fromkeys(x for p in phrases for x in _listed(p)))
+            named[entry] = {_compact(words(p)) for p in (*phrases, *listed)} | {_sound(words(p)) for p in (*phrases, *listed)} - {""}
             for phrase, rank in phrases.items():
-                ws = words(phrase)
-                if not ws:
-                    continue
-                for path in {_compact(ws), _ordered(ws), _compact([w for w in ws if w not in SMALL_WORDS])}:
-                    self.near.add(path, entry, rank)
-                self.cut.add(" ".join(w for w in ws if w not in SMALL_WORDS), entry, rank)
+                self._add(words(phrase), entry, rank)
+            for one in dict.fromkeys(x for p in phrases for x in _derived(p)):
+                self._add(words(one), entry, PART)
+            for one in listed:
+                for two in listed:
+                    if two != one:
+                        self._add(words(one) + words(two), entry, PART)
+            short = list(dict.fromkeys(x for x in (_initials(words(p)) for p in (*phrases, *listed)) if len(x) > 1))
+            for x in [*short, *(x + y for x in short for y in short if x != y)]:
+                self.initials.setdefault(x, set()).add(entry)
+        for group in groups:
+            shares = {e: sum(_compact(words(g)) in names or _sound(words(g)) in names for g in dict.fromkeys(group)) for e, names in named.items()}
+            for entry in (e for e, n in shares.items() if n and n == max(shares.values())):
+                for name in group:
+                    self._add(words(name), entry, GROUP)
+
+    def _add(self, ws: list[str], entry: str, rank: int) -> None:
+        if not ws:
+            return
+        for path in {_compact(ws), _ordered(ws), _compact([w for w in ws if w not in SMALL_WORDS])}:
+            self.near.add(path, entry, rank)
+        if sound := _sound(ws):
+            self.sound.add(sound, entry, rank)
+        self.cut.add(" ".join(w for w in ws if w not in SMALL_WORDS), entry, rank)
 
     @staticmethod
     def readings(value: str) -> list[str]:
@@ -192,30 +234,49 @@ class Matcher:
             out.append(t)
         return [t for t in dict.fromkeys(out) if t.strip()]
 
-    def all_near(self, value: str) -> tuple[tuple[int, int, str], ...]:
+    def _near(self, text: str) -> list[tuple[int, int, str]]:
+        ws = words(text)
         found: list[tuple[int, int, str]] = []
-        for text in self.readings(value):
-            ws = words(text)
-            if not ws:
-                continue
-            for path in {_compact(ws), _ordered(ws), _compact([w for w in ws if w not in SMALL_WORDS])}:
-                if path:
-                    found += self.near.search(path, allowed(path))
+        for path in {_compact(ws), _ordered(ws), _compact([w for w in ws if w not in SMALL_WORDS])} - {""}:
+            found += self.near.search(path, allowed(path))
+        found += [(1, PART, e) for e in self.initials.get(_compact(ws), ())]
+        if 2 < len(short := _initials(ws)) < 6:  # a phrase of the list may be the value's initials
+            found += [(1 + d, rank, e) for d, rank, e in self.near.search(short, 0) if rank <= ALIAS]
+        if sound := _sound(ws):
+            found += [(1 + d, rank, e) for d, rank, e in self.sound.search(sound, min(1, allowed(sound) - 1))]
+        if not found:
             dotted = [w for w in re.split(r"[\s\-/&,;_]+", text.casefold()) if w and w not in SMALL_WORDS]
-            if any(w.endswith(".") for w in dotted) and all(len(w.rstrip(".")) > 1 for w in dotted):
-                found += self.cut.search_cut([w.rstrip(".") for w in dotted])
+            bare = [w.rstrip(".") for w in dotted]
+            least = 2 if any(w.endswith(".") for w in dotted) else 3 if len(bare) > 1 else 6
+            if dotted and dotted[-1].endswith(".") and len(_compact(bare)) >= 10:
+                found += [(1 + d, rank, e) for d, rank, e in self.near.search(_compact(words(text)), allowed(_compact(bare)) - 1, begun=True)]
+            if bare and all(len(w) >= least for w in bare):
+                found += self.cut.search_cut(bare) or self.cut.search_cut([w[:-1] if w.endswith("s") and len(w) > 3 else w for w in bare])
+        return found
+
+    def all_near(self, value: str) -> tuple[tuple[int, int, str], ...]:
+        """(distance, rank, entry) of every entry that the value may mean, the nearest first."""
+        found: list[tuple[int, int, str]] = []
+        texts = self.readings(value)
+        for text in texts:
+            found += self._near(text)
+        if not found:
+            for text in texts:
+                each = [{e for _, _, e in self._near(x)} for x in _listed(text)]
+                some = [es for es in each if es]
+                found += [(2 + len(each) - len(some), PART, e) for e in (set.intersection(*some) if some else ())]
         best: dict[str, tuple[int, int, str]] = {}
         for hit in found:
             best[hit[2]] = min(hit, best.get(hit[2], hit))
         return tuple(sorted(best.values()))
 
 
-def _search_udf(entries: list[tuple[str, str, str, str, list[str]]]):
+def _search_udf(entries: list[tuple[str, str, str, str, list[str]]], groups: list[tuple[str, ...]] | None):
     shared: dict[str, Matcher] = {}
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for vocab in {e[1] for e in entries}:
-            shared.setdefault(vocab, Matcher([(e[0], *e[2:]) for e in entries if e[1] == vocab]))
+            shared.setdefault(vocab, Matcher([(e[0], *e[2:]) for e in entries if e[1] == vocab], groups))
         for batch in batches:
             hits = [
                 (vocab, value, *hit)
@@ -227,7 +288,7 @@ def _search_udf(entries: list[tuple[str, str, str, str, list[str]]]):
     return search
 
 
-def candidates(values: DataFrame, area_list: DataFrame) -> DataFrame:
+def candidates(values: DataFrame, area_list: DataFrame, groups: list[tuple[str, ...]] | None = None) -> DataFrame:
     """(vocab, raw_value, distance, rank, entry_id): all entries near to each distinct (vocab, raw_value)."""
     columns = ["entry_id", "vocab", "label", "label_zh", "aliases"]
     numbered = area_list.select(*columns).dropDuplicates(["entry_id"])
@@ -236,7 +297,7 @@ def candidates(values: DataFrame, area_list: DataFrame) -> DataFrame:
     for k in range(shards):  # each pass sends at most about SHARD entries to the tasks
         part = numbered.where(F.pmod(F.xxhash64("entry_id"), F.lit(shards)) == k)
         entries = [(r.entry_id, r.vocab, r.label, r.label_zh, list(r.aliases or ())) for r in part.collect()]
-        hits = values.mapInPandas(_search_udf(entries), "vocab string, raw_value string, distance int, rank int, entry_id string")
+        hits = values.mapInPandas(_search_udf(entries, groups), "vocab string, raw_value string, distance int, rank int, entry_id string")
         out = hits if out is None else out.unionByName(hits)
     return out
 
@@ -255,13 +316,13 @@ def elements(venues: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
-def map_values(typed: DataFrame, area_list: DataFrame) -> DataFrame:
+def map_values(typed: DataFrame, area_list: DataFrame, groups: list[tuple[str, ...]] | None = None) -> DataFrame:
     """Adds entry_id (or ``unmatched``) and distance to (…, raw_value, vocab), leaving out exact labels."""
     labels = F.broadcast(area_list.select("vocab", F.col("label").alias("raw_value")).distinct()) if area_list.count() <= SHARD else area_list.select("vocab", F.col("label").alias("raw_value")).distinct()
     open_values = typed.join(labels, ["vocab", "raw_value"], "left_anti")
     counts = cut(open_values.groupBy("vocab", "raw_value").agg(F.count(F.lit(1)).alias("n")))
     spread = counts.select("vocab", "raw_value").repartition(counts.sparkSession.sparkContext.defaultParallelism * 2)
-    best = candidates(spread, area_list).groupBy("vocab", "raw_value").agg(F.min(F.struct("distance", "rank", "entry_id")).alias("b"))
+    best = candidates(spread, area_list, groups).groupBy("vocab", "raw_value").agg(F.min(F.struct("distance", "rank", "entry_id")).alias("b"))
     found = cut(
         counts.join(best, ["vocab", "raw_value"], "left").select(
             "vocab", "raw_value", "n", F.coalesce("b.entry_id", F.lit(UNMATCHED)).alias("entry_id"), F.col("b.distance").alias("distance")
