@@ -57,6 +57,21 @@ EXCLUSIVE = ("annals", "letters", "journal", "transactions", "proceedings", "sym
 _KIND = {short: kind for kind, forms in KINDS.items() for short in forms}
 
 
+def _kept(f):
+    """Words and readings come again and again, so a task keeps what it has worked out, up to a bound."""
+    known: dict = {}
+
+    def keep(*args):
+        if args not in known:
+            if len(known) >= 1 << 19:
+                known.clear()
+            known[args] = f(*args)
+        return known[args]
+
+    return keep
+
+
+@_kept
 def _kind(word: str) -> str | None:
     """The kind that a word names, in full, short, or mistyped."""
     if word in _KIND:
@@ -108,6 +123,7 @@ def reading(name: str | None) -> str:
     return " ".join(([acronym.upper()] if acronym else []) + [w + "." * cut_ for w, cut_ in tokens])
 
 
+@_kept
 def _tokens(text: str) -> tuple[str, list[tuple[str, bool]]]:
     parts = text.split(" ") if text else []
     acronym = parts[0].lower() if parts and parts[0].isupper() and not parts[0].endswith(".") else ""
@@ -132,6 +148,7 @@ def distance(a: str, b: str, limit: int) -> int:
     return above[-1]
 
 
+@_kept
 def word_similarity(a: tuple[str, bool], b: tuple[str, bool]) -> float:
     (x, cut_x), (y, cut_y) = a, b
     if x == y:
@@ -201,7 +218,7 @@ def readings(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     entries = cut(
         typed.select("entry_id", "journal_name").where("entry_id is not null").dropDuplicates(["entry_id"])
-        .mapInPandas(read, "entry_id long, reading string").where("reading <> ''")
+        .repartition(typed.sparkSession.sparkContext.defaultParallelism * 2).mapInPandas(read, "entry_id long, reading string").where("reading <> ''")
     )
     distinct = cut(entries.groupBy("reading").agg(F.count(F.lit(1)).alias("n"), F.min("entry_id").alias("id")))
     return entries, distinct
