@@ -4,8 +4,10 @@ Listings and catalogue venues share attributes: parts of the name, publisher and
 attribute opens edges and is their evidence, weighted by its rarity in the catalogue; one that many venues have
 is met in as many tasks as they are times ``OVERSIZED``. Meta-blocking keeps, for each listing, the
 edges with at least ``KEEP`` of its strongest edge's weight. The edges left are compared in full, and their
-confidence is refined in rounds: publishers and hosts of both sides become similar in so far as the venues
-matched between them are, and that similarity counts as evidence for their other venues, until nothing moves.
+confidence is refined in rounds. An owner, the publisher or the host of either side, is as similar to an owner of
+the other side as their other venues are matched to each other; that similarity is evidence where the edge itself has
+none (one side lacks the publisher or the host, so a publisher is held against the hosts that its other venues
+have) or speaks against it (the owner changed its name), and so on until nothing moves.
 
 A listing goes to its most confident venue (ties: the smaller journal_id) from ``ACCEPT`` on. Null and empty
 attributes are no evidence; a listing without a name is matched to nothing. Rows of one journal_id are one venue; null journal_ids are none.
@@ -18,10 +20,10 @@ import warnings
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread_left
 from .p5_names import KINDS, _tokens, distance, name_similarity, reading
 
 OVERSIZED = 200
@@ -29,7 +31,9 @@ KEEP = 0.4
 ACCEPT = 0.5
 #: moves below STABLE are none; rounds that are not stable after ROUNDS, or come round again, are reported
 ROUNDS, STABLE = 200, 0.01
-SURE, NEIGHBOURS = 0.8, 3.0
+SURE, NEIGHBOURS, ALONE = 0.8, 3.0, 1.0
+#: the pairs of owners whose similarity is propagated: of a listing, and of a venue
+OWNERS = (("lp", "vp"), ("lh", "vh"), ("lp", "vh"), ("lh", "vp"))
 #: a host of listings of more of the catalogue's publishers than this, and of no venue, is a portal
 PORTAL = 2
 #: fixed values: words of a publisher's name that are not its own
@@ -133,7 +137,7 @@ def compared(edges: DataFrame, listing: DataFrame, venue: DataFrame) -> DataFram
         listing.where("host <> ''").join(owners, "publisher", "left_semi").groupBy("host").agg(F.countDistinct("publisher").alias("n")).where(F.col("n") > PORTAL).select("host")
         .join(venue.where("host <> ''").select("host").distinct(), "host", "left_anti").withColumn("portal", F.lit(True))
     )
-    listing = listing.join(portal, "host", "left").withColumn("host", F.when(F.col("portal"), F.lit("")).otherwise(F.col("host"))).drop("portal")
+    listing = spread_left(listing, portal, ["host"], "listing_id").withColumn("host", F.when(F.col("portal"), F.lit("")).otherwise(F.col("host"))).drop("portal")
     left = listing.select("listing_id", *[F.col(c).alias("l_" + c) for c in ("name", "publisher", "host", "page")])
     right = venue.select("journal_id", *[F.col(c).alias("v_" + c) for c in ("name", "publisher", "host", "page")])
 
@@ -167,33 +171,53 @@ def _confidence(pub, site):
     name = F.when(F.col("name") < 0.6, -6.0).otherwise((F.col("name") - 0.8) * 8)
     telling = F.when(F.col("words") > 3, 1.2).otherwise(0.0)
     page = F.when((F.col("same_page") > 0) & (F.col("site") > 0), 2.0).otherwise(0.0)  # a page is named after the venue: alone it repeats the name
-    odds = name + telling + page + pub * F.when(pub > 0, 2.0).otherwise(2.5) + site * F.when(site > 0, 2.0).otherwise(2.5)
+    alone = F.when((F.col("pub") == 0) & (F.col("site") == 0), -ALONE).otherwise(0.0)  # nothing but the name: its owners' other venues have to speak for it
+    odds = name + telling + page + alone + pub * F.when(pub > 0, 2.0).otherwise(2.5) + site * F.when(site > 0, 2.0).otherwise(2.5)
     return 1 / (1 + F.exp(-odds))
 
 
-def matches(listings: DataFrame, venues: DataFrame) -> DataFrame:
+def near(scored: DataFrame) -> DataFrame:
+    """(owners, a, b, matched, every, most), by the place in ``OWNERS``: the sure matches between two owners, those of the listings' owner with anyone, and with the owner that it has most of."""
+    pair = F.explode(F.array(*[F.struct(F.lit(i).alias("owners"), F.col(a).alias("a"), F.col(b).alias("b")) for i, (a, b) in enumerate(OWNERS)]))
+    known = scored.where(F.col("name") >= SURE).select("conf", pair.alias("o")).select("conf", "o.*").where("a <> '' and b <> ''")
+    both = known.groupBy("owners", "a", "b").agg(F.coalesce(F.sum(F.when(F.col("conf") >= SURE, F.col("conf"))), F.lit(0.0)).alias("matched"), F.sum(F.greatest("conf", F.lit(0.3))).alias("all"))
+    every = both.groupBy("owners", "a").agg(F.sum("all").alias("every"), F.max("matched").alias("most"))
+    return both.join(every, ["owners", "a"]).drop("all")
+
+
+def _support(a: str, b: str) -> Column:
+    """From -1 to 1: whether the two owners' other venues are matched to each other, rather than to other owners' venues; 0 if nothing is known of them."""
+    own = F.when(F.col("name") >= SURE, F.col("conf")).otherwise(0.0)
+    sure = F.when(F.col("conf") >= SURE, own).otherwise(0.0)
+    every = F.col(f"every_{a}_{b}") - F.when(F.col("name") >= SURE, F.greatest("conf", F.lit(0.3))).otherwise(0.0) + 1
+    mine = F.greatest(F.col(f"matched_{a}_{b}") - sure, F.lit(0.0))
+    most = F.greatest(F.col(f"most_{a}_{b}") - F.when(F.col(f"matched_{a}_{b}") == F.col(f"most_{a}_{b}"), sure).otherwise(0.0), mine)
+    return F.coalesce((2 * mine - most) / every, F.lit(0.0))
+
+
+def refined(scored: DataFrame) -> DataFrame:
+    """The edges with their confidence after one more round of propagation."""
+    joined, pairs = scored, cut(near(scored))
+    for i, (a, b) in enumerate(OWNERS):
+        one = pairs.where(F.col("owners") == i).select(F.col("a").alias(a), F.col("b").alias(b), *[F.col(c).alias(f"{c}_{a}_{b}") for c in ("matched", "every", "most")])
+        joined = spread_left(joined, one, [a, b], "listing_id")
+    renamed = {(a, b): F.coalesce(F.try_divide(f"matched_{a}_{b}", F.col(f"every_{a}_{b}") + NEIGHBOURS), F.lit(0.0)) * 2 - 1 for a, b in OWNERS[:2]}
+    pub = F.when(F.col("pub") < 0, F.greatest("pub", renamed["lp", "vp"])).when(F.col("pub") > 0, F.col("pub")).otherwise(_support("lp", "vh"))
+    site = F.when(F.col("site") < 0, F.greatest("site", renamed["lh", "vh"])).when(F.col("site") > 0, F.col("site")).otherwise(_support("lh", "vp"))
+    return joined.withColumn("was", F.col("conf")).withColumn("conf", _confidence(pub, site)).select(*scored.columns, "was")
+
+
+def matches(listings: DataFrame, venues: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(journal_id, listing_id, confidence): the venue of each listing that has one."""
     listing, venue = cut(attributes(listings, "listing_id").where("name <> ''")), cut(attributes(venues, "journal_id").where("name <> ''"))
-    edges = cut(compared(candidate_edges(listing, venue), listing, venue).where("name > 0 or same_page > 0"))
+    edges = compared(candidate_edges(listing, venue), listing, venue).where("name > 0 or same_page > 0")
     scored = cut(edges.withColumn("conf", _confidence(F.col("pub"), F.col("site"))))
     states = set()
-    for turn in range(1, ROUNDS + 1):
-        near = []
-        for a, b in (("lp", "vp"), ("lh", "vh")):
-            # what two owners share: their sure matches among all candidates of that owner's listings, held back by NEIGHBOURS
-            known = scored.where(f"{a} <> '' and {b} <> '' and name >= 0.8")
-            both = known.groupBy(a, b).agg(F.sum(F.when(F.col("conf") >= SURE, F.col("conf"))).alias("v"))
-            every = known.groupBy(a).agg(F.sum(F.greatest("conf", F.lit(0.3))).alias("all"))
-            near.append(both.where("v is not null").join(every, a).select(a, b, (F.col("v") / (F.col("all") + NEIGHBOURS)).alias(f"near_{a}")))
-        pub = F.greatest(F.col("pub"), F.coalesce("near_lp", F.lit(0.0)) * 2 - 1)
-        site = F.greatest(F.col("site"), F.when(F.col("site") < 0, F.coalesce("near_lh", F.lit(0.0)) * 2 - 1).otherwise(F.lit(-1.0)))
-        again = cut(
-            scored.withColumn("was", F.col("conf")).join(near[0], ["lp", "vp"], "left").join(near[1], ["lh", "vh"], "left")
-            .withColumn("conf", _confidence(F.when(F.col("pub") < 0, pub).otherwise(F.col("pub")), site)).drop("near_lp", "near_lh")
-        )
+    for turn in range(1, rounds + 1):
+        again = cut(refined(scored.drop("was")), after=[scored])
         state = F.sum(F.xxhash64("listing_id", "journal_id", F.round("conf", 6)).cast("decimal(38,0)"))
         moved, state = again.agg(F.coalesce(F.max(F.abs(F.col("conf") - F.col("was"))), F.lit(0.0)), state).first()
-        scored = again.drop("was")
+        scored = again
         if moved < STABLE:
             break
         if turn == ROUNDS or state in states:

@@ -66,12 +66,21 @@ def test_p2_maps(spark):
     assert got == {
         ("subject_tags", 1, "compter vision"): "t1", ("subject_tags", 1, "Vision, computer"): "t1", ("subject_tags", 1, "计算机视觉领域"): "t1", ("subject_tags", 1, "bee keeping"): "unmatched",
         ("subject_tags", 1, "vision "): "t1", ("subject_tags", 1, "human-computer interact."): "t2", ("subject_tags", 1, "?"): "unmatched",
-        ("research_area", 5, "privacy, Security"): "a1", ("ccf_research_area", 5, "cyber-security"): "a1",
+        ("research_area", 5, "privacy, Security"): "a1", ("ccf_research_area", 5, "cyber-security"): "unmatched",
     }
+    named = p2_canon.map_values(p2_canon.elements(v, p), areas, [("infosec", "information security", "cyber security")])
+    assert named.where("raw_value = 'cyber-security'").first().entry_id == "a1"  # an alias path that the caller knows
     assert {r.entry_id for r in p2_canon.map_values(p2_canon.elements(v, p), areas.limit(0)).collect()} == {"unmatched"}
 
 
 # 3
+def test_p2_derived_paths():
+    m = p2_canon.Matcher([("a1", "Parallel computing, architecture and storage", "并行计算、存储与体系结构", []), ("a2", "Theory of computation", None, ["HCI"]), ("a3", "Computer graphics", None, [])], [])
+    for value, entry in (("storage", "a1"), ("architecture & storage", "a1"), ("archit. / storage", "a1"), ("存储体系结构", "a1"), ("theory", "a2"), ("CG", "a3"), ("Computergrafik", "a3"), ("human computer interaction", "a2"), ("computer graph.", "a3")):
+        assert min(m.all_near(value))[2] == entry, value
+    assert not m.all_near("fluid mechanics") and not m.all_near("x")
+
+
 def test_p3_survivor(spark):
     import datetime as dt
 
@@ -211,6 +220,21 @@ def test_p6_matches(spark):
     assert p6_link.matches(l.limit(0), v).count() == 0
 
 
+def test_p6_neighbours_decide(spark):
+    """Listings that name only a publisher, venues that have only a host: what their owners' other venues say, and nothing else, tells them apart."""
+    v = [(f"j{i}", f"Annals of {w} Graph Mining", "Alpha Press", "https://www.northhouse.example/x") for i, w in enumerate(("Elastic", "Bounded", "Sparse", "Robust"))]
+    v += [(f"k{i}", f"Letters in {w} Traffic Shaping", "Betamax Verlag", "https://www.southhouse.example/x") for i, w in enumerate(("Elastic", "Bounded", "Sparse", "Robust"))]
+    v += [("a", "Journal of Packet Routing", None, "https://www.northhouse.example/jpr"), ("b", "Journal of Packet Routing", None, "https://www.southhouse.example/jpr"), ("c", "Journal of Image Theory", None, "https://www.southhouse.example/jit")]
+    rows = [(i, n, p, None) for i, (_, n, p, _) in enumerate(v[:8])]
+    rows += [(20, "Journal of Packet Routing", "Betamax Verlag", None), (21, "Journal of Packet Routing", "Alpha Press", None), (22, "Journal of Image Theory", "Alpha Press", None)]
+    schema = "journal_name string, publisher string, homepage_url string"
+    venues, listings = spark.createDataFrame(v, f"journal_id string, {schema}"), spark.createDataFrame(rows, f"listing_id long, {schema}")
+    got = {(r.listing_id, r.journal_id) for r in p6_link.matches(listings, venues).collect()}
+    assert {x for x in got if x[0] >= 20} == {(20, "b"), (21, "a")}  # 22 has the name of a venue of another house
+    alone = {(r.listing_id, r.journal_id) for r in p6_link.matches(listings, venues, rounds=0).collect()}
+    assert {x for x in alone if x[0] >= 20} == {(20, "a"), (21, "a"), (22, "c")}
+
+
 def test_p6_frequent_keys_open_edges(spark, monkeypatch):
     v = spark.createDataFrame([(f"j{i}", f"Graph Mining Theory {w}", None, None) for i, w in enumerate(("Dasete", "Kilito", "Nemeke", "Roputu", "Vatelo"))], "journal_id string, journal_name string, publisher string, homepage_url string")
     l = spark.createDataFrame([(1, "Graph Mining Theory", None, None), (2, "Graph Mining Theory Roputu", None, None)], "listing_id long, journal_name string, publisher string, homepage_url string")  # noqa: E741
