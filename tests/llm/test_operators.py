@@ -136,6 +136,22 @@ def test_p4_copies(spark):
     assert p4_ledger.copy_lines(df.limit(0)).count() == 0
 
 
+def test_p4_ledger_is_reopened(spark, tmp_path, monkeypatch):
+    rows = [(i, f'{{"journal_id": "j{i % 37}", "journal_name": "Name{i % 37}{"!" * (i % 3)}"}}') for i in range(400)]
+    df = spark.createDataFrame(rows, "line_id long, record string").withColumn("fetched_at", F.timestamp_seconds(F.col("line_id")))
+    keyed, root = p4_ledger.keyed_lines(df), f"file://{tmp_path}/ledger"
+    p4_ledger.Ledger(spark, root).fold(keyed.where("line_id < 150"))
+    monkeypatch.setattr(p4_ledger, "BUCKET_KEYS", 2)  # more buckets from the second batch on
+    p4_ledger.Ledger(spark, root).fold(keyed.where("line_id >= 150 and line_id < 160"))
+    again = p4_ledger.Ledger(spark, root)
+    assert again.n_buckets > p4_ledger.LEAST_BUCKETS and len(again.places) <= again.n_buckets
+    again.fold(keyed.where("line_id >= 160"))
+    again.fold(keyed.limit(0))
+    got = {r.key: (r.copies, r.first_line) for r in p4_ledger.Ledger(spark, root).read().collect()}
+    assert got == {r.key: (r.copies, r.first_line) for r in p4_ledger.records(df).collect()} and sum(c for c, _ in got.values()) == 400
+    assert len(list((tmp_path / "ledger" / "manifest").iterdir())) == 1
+
+
 # 5
 def test_p5_curve_and_similarity():
     rows, bands = p5_names.tune()
