@@ -41,9 +41,18 @@ def rough_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[。！？\n]+"), lambda s: F.regexp_replace(s, rf"^{SPACE}|{SPACE}$", "")), lambda s: s != "")
 
 
+def long_words(text: Column) -> Column:
+    """The lower-case words of over two letters, each once."""
+    return F.filter(token_set(text), lambda w: F.length(w) > 2)
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Shared lower-case words of over two letters, by the larger of the two sets; 0 if either is empty."""
-    x, y = (F.filter(token_set(c), lambda w: F.length(w) > 2) for c in (a, b))
+    return set_overlap(long_words(a), long_words(b))
+
+
+def set_overlap(x: Column, y: Column) -> Column:
+    """Shared elements by the larger of the two sets; 0 if either is empty. Sets met by many pairs are best columns of their own."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.when((F.size(x) > 0) & (F.size(y) > 0), F.greatest(F.size(x), F.size(y)))), F.lit(0.0))
 
 

@@ -1,4 +1,8 @@
-"""Rule features of (profile, venue) pairs, their weighted score, and what adjusts it. All are column expressions."""
+"""Rule features of (profile, venue) pairs, their weighted score, and what adjusts it. All are column expressions.
+
+What a feature needs of a text, its word set or the groups of names that it has, is a column of the paper or of the venue
+(``PAPER``, ``VENUE``), made once for each before they are paired.
+"""
 
 from __future__ import annotations
 
@@ -59,17 +63,59 @@ def _words(c: str, stop: tuple[str, ...]) -> Column:
     return F.filter(tx.token_set(F.col(c)), lambda w: (F.length(w) > 1) & ~w.isin(*stop))
 
 
+def _groups(text: Column, groups: tuple) -> Column:
+    """The numbers of the groups that have a name in the text."""
+    found = [F.when(_any([F.contains(text, F.lit(a)) for a in g]), F.lit(i)) for i, g in enumerate(groups)]
+    return F.filter(F.array(*found), lambda i: i.isNotNull())
+
+
+def _group_names(column: str, groups: tuple) -> Column:
+    """The groups of which an element of the list has a name."""
+    return F.array_distinct(F.flatten(F.transform(F.filter(arr(column), lambda d: d.isNotNull()), lambda d: _groups(F.lower(d), groups))))
+
+
+def _lowered(column: str) -> Column:
+    return F.transform(F.filter(arr(column), lambda d: d.isNotNull()), lambda d: F.lower(d))
+
+
+def _novelties() -> Column:
+    scope = F.lower(_scope())
+    return F.filter(F.array(*[F.when(_any([F.contains(scope, F.lit(n)) for n in names]), F.lit(k)) for k, names in NOVELTY.items()]), lambda k: k.isNotNull())
+
+
+#: what the features need of a paper, and of a venue
+PAPER = {
+    "_title_words": lambda: _words("title", STOP),
+    "_terms": lambda: F.transform(F.concat(arr("keywords"), arr("techniques")), lambda t: F.lower(t)),
+    "_technique_words": lambda: tx.long_words(tx.joined(F.col("techniques"))),
+    "_dataset_words": lambda: tx.long_words(tx.joined(F.col("datasets"))),
+    "_paper_words": lambda: tx.long_words(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")), tx.joined(F.col("keywords")), tx.joined(F.col("techniques")))),
+    "_datasets": lambda: _lowered("datasets"), "_dataset_groups": lambda: _group_names("datasets", DATASETS),
+    "_metrics": lambda: _lowered("evaluation_metrics"), "_metric_groups": lambda: _group_names("evaluation_metrics", METRICS),
+}
+VENUE = {
+    "_name_words": lambda: _words("journal_name", STOP), "_own_name_words": lambda: _words("journal_name", STOP_NAME),
+    "_scope": lambda: F.lower(_scope()), "_scope_words": lambda: tx.long_words(_scope()),
+    "_venue_words": lambda: tx.long_words(F.concat_ws(" ", _scope(), tx.joined(F.col("venue_keywords")), F.coalesce("journal_name", F.lit("")))),
+    "_scope_datasets": lambda: _groups(F.lower(_scope()), DATASETS), "_scope_metrics": lambda: _groups(F.lower(_scope()), METRICS), "_scope_novelties": _novelties,
+}
+
+
+def prepared(df: DataFrame, side: dict) -> DataFrame:
+    """``df`` with the columns of ``PAPER`` or ``VENUE`` that it lacks."""
+    return df.select("*", *[make().alias(name) for name, make in side.items() if name not in df.columns])
+
+
 def title_journal_name() -> Column:
-    return F.arrays_overlap(_words("title", STOP), _words("journal_name", STOP)).cast("double")
+    return F.arrays_overlap("_title_words", "_name_words").cast("double")
 
 
 def journal_name_keyword() -> Column:
-    terms = F.transform(F.concat(arr("keywords"), arr("techniques")), lambda t: F.lower(t))
-    return (F.size(F.array_intersect(_words("journal_name", STOP_NAME), terms)) > 0).cast("double")
+    return (F.size(F.array_intersect("_own_name_words", "_terms")) > 0).cast("double")
 
 
 def technique_match() -> Column:
-    o = tx.overlap(tx.joined(F.col("techniques")), _scope())
+    o = tx.set_overlap(F.col("_technique_words"), F.col("_scope_words"))
     return F.when(o > 0.2, o).otherwise(0.0)
 
 
@@ -78,42 +124,30 @@ def method_type_match() -> Column:
 
 
 def paper_type_match() -> Column:
-    return F.coalesce(F.contains(F.lower(_scope()), F.col("paper_type")), F.lit(False)).cast("double")
+    return F.coalesce(F.contains("_scope", F.col("paper_type")), F.lit(False)).cast("double")
 
 
 def keyword_overlap() -> Column:
-    paper = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")), tx.joined(F.col("keywords")), tx.joined(F.col("techniques")))
-    venue = F.concat_ws(" ", _scope(), tx.joined(F.col("venue_keywords")), F.coalesce("journal_name", F.lit("")))
-    o = tx.overlap(paper, venue)
+    o = tx.set_overlap(F.col("_paper_words"), F.col("_venue_words"))
     return F.when(o > 0.1, o).otherwise(0.0)
 
 
-def _aliased(value: Column, groups: tuple) -> Column:
-    """Whether some group has a name in the value and one in the scope."""
-    scope = F.lower(_scope())
-    return _any([_any([F.contains(value, F.lit(a)) for a in g]) & _any([F.contains(scope, F.lit(a)) for a in g]) for g in groups])
-
-
-def _named(column: str, groups: tuple) -> Column:
-    scope = F.lower(_scope())
-    return F.exists(F.filter(arr(column), lambda d: d.isNotNull()), lambda d: F.contains(scope, F.lower(d)) | _aliased(F.lower(d), groups))
+def _named(names: str, groups: str, scope_groups: str) -> Column:
+    """Whether the scope has one of the names, or a name of one of their groups."""
+    return F.exists(names, lambda d: F.contains(F.col("_scope"), d)) | F.arrays_overlap(groups, scope_groups)
 
 
 def dataset_match() -> Column:
-    o = tx.overlap(tx.joined(F.col("datasets")), _scope())
-    return F.when(_named("datasets", DATASETS), 1.0).when(o > 0.1, o * 0.5).otherwise(0.0)
+    o = tx.set_overlap(F.col("_dataset_words"), F.col("_scope_words"))
+    return F.when(_named("_datasets", "_dataset_groups", "_scope_datasets"), 1.0).when(o > 0.1, o * 0.5).otherwise(0.0)
 
 
 def metric_match() -> Column:
-    return _named("evaluation_metrics", METRICS).cast("double")
+    return _named("_metrics", "_metric_groups", "_scope_metrics").cast("double")
 
 
 def novelty_match() -> Column:
-    scope = F.lower(_scope())
-    out = F.lit(False)
-    for kind, names in NOVELTY.items():
-        out = out | ((F.col("novelty_type") == kind) & _any([F.contains(scope, F.lit(n)) for n in names]))
-    return F.coalesce(out, F.lit(False)).cast("double")
+    return F.coalesce(F.array_contains("_scope_novelties", F.col("novelty_type")), F.lit(False)).cast("double")
 
 
 def research_area_match() -> Column:
@@ -140,11 +174,12 @@ FEATURES = {
 
 def scored(pairs: DataFrame, preference: str = "any") -> DataFrame:
     """The pairs with every feature and ``score``; a ``bm25`` column, where there is one, counts from 0.1 on."""
-    out = pairs.select("*", *[F.coalesce(f(), F.lit(0.0)).alias(name) for name, f in FEATURES.items()], F.coalesce(oa_preference_match(preference), F.lit(0.0)).alias("oa_preference_match"))
+    ready = prepared(prepared(pairs, PAPER), VENUE)
+    out = ready.select("*", *[F.coalesce(f(), F.lit(0.0)).alias(name) for name, f in FEATURES.items()], F.coalesce(oa_preference_match(preference), F.lit(0.0)).alias("oa_preference_match"))
     terms = [F.col(n) * w for n, w in WEIGHTS.items() if n in out.columns]
     if "bm25" in pairs.columns:
         terms.append(F.when(F.col("bm25") > 0.1, F.col("bm25") * WEIGHTS["bm25_title_scope"]).otherwise(0.0))
-    return out.withColumn("score", F.round(reduce(lambda a, b: a + b, terms), 6))
+    return out.withColumn("score", F.round(reduce(lambda a, b: a + b, terms), 6)).drop(*PAPER, *VENUE)
 
 
 def reasons() -> Column:
@@ -201,8 +236,8 @@ def merged_rerank(rule_ranked: DataFrame, answers: DataFrame, k: int = 5) -> Dat
 
 
 def fallback_reasons() -> Column:
-    """At most four short reasons where no model explains: areas, techniques, method, access."""
-    shared = F.array_intersect(arr("research_area"), arr("subject_tags"))
+    """At most four short reasons where no model explains: areas, techniques, method, access. Their labels are fixed values."""
+    shared = research_area_match()
     area = F.when(F.size(arr("research_area")) > 0, F.when(F.size(shared) > 0, F.concat(F.lit("领域匹配："), F.array_join(shared, ", "))).otherwise(F.concat(F.lit("领域："), F.array_join(F.slice("research_area", 1, 2), ", "))))
     technique = F.when(F.size(arr("techniques")) > 0, F.concat(F.lit("技术："), F.array_join(F.slice("techniques", 1, 2), ", ")))
 
@@ -242,7 +277,7 @@ def readiness(s: Column, novelty: Column) -> Column:
 
 
 def assessed(n: Column, rigor: Column, reproducibility: Column, significance: Column, clarity: Column) -> Column:
-    """Strength from five scores of 0..3; an absent score is 1."""
+    """Strength from five scores of 0..3; an absent score is 1. The weights are fixed values."""
     s = [F.coalesce(c, F.lit(1)) for c in (n, rigor, reproducibility, significance, clarity)]
     return F.least((0.35 * s[0] + 0.25 * s[1] + 0.15 * s[2] + 0.15 * s[3] + 0.10 * s[4]) / 3, F.lit(1.0))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-
+from ..session import cut, lookup
 
 
 def arr(c: str | Column) -> Column:
@@ -61,12 +61,18 @@ def search_query() -> Column:
 
 
 def logged_pairs(matches: DataFrame, profiles: DataFrame, venues: DataFrame) -> DataFrame:
-    """Each (paper, venue) of the recommendation log once, with its profile and venue; those without either are left out."""
-    pair = matches.select("paper_id", "journal_id").distinct()
+    """Each (paper, venue) of the recommendation log once, with its profile, its venue and what the rules need of them; those without either are left out.
+
+    A venue with a third of the log is looked up apart from the others.
+    """
+    from .rules import PAPER, VENUE, prepared
+
+    pair = cut(matches.select("paper_id", "journal_id").distinct())
     p = current_profiles(profiles).select(
         "paper_id", "title", "abstract", "research_area", "keywords", "techniques", "datasets", "evaluation_metrics", "method_type", "paper_type", "novelty_type", "paper_strength"
     )
     v = catalogue(venues).select(
         "journal_id", "pos", "journal_name", "scope_text", F.col("keywords").alias("venue_keywords"), "subject_tags", "oa_type", "target_paper_type", "ccf_rating"
     )
-    return pair.join(p, "paper_id").join(v, "journal_id")
+    held = prepared(v, VENUE).join(pair.groupBy("journal_id").agg(F.count(F.lit(1)).alias("_n")), "journal_id")
+    return lookup(pair.join(prepared(p, PAPER), "paper_id"), held, ["journal_id"], "_n", pair.count())
