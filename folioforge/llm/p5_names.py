@@ -149,6 +149,17 @@ def distance(a: str, b: str, limit: int) -> int:
 
 
 @_kept
+def _letters(word: str) -> int:
+    """A bit for each letter of the word (letters may share one)."""
+    out = 0
+    for c in word:
+        out |= 1 << ord(c) % 61
+    return out
+
+
+_edits = _kept(distance)
+
+
 def word_similarity(a: tuple[str, bool], b: tuple[str, bool]) -> float:
     (x, cut_x), (y, cut_y) = a, b
     if x == y:
@@ -156,11 +167,16 @@ def word_similarity(a: tuple[str, bool], b: tuple[str, bool]) -> float:
     short, long_, is_cut = (x, y, cut_x) if len(x) <= len(y) else (y, x, cut_y)
     if len(short) >= (2 if is_cut else 3) and long_.startswith(short):
         return 0.97 if is_cut else 0.9
+    if len(short) < 4:
+        return 0.0
     limit = max(1, len(long_) // 4)
-    d = distance(x, y, limit)
-    if d <= limit and len(short) >= 4:
-        return 1 - d / len(long_)
-    if (is_cut or len(short) <= len(long_) - 2) and len(short) >= 4 and distance(short, long_[: len(short)], 1) <= 1:
+    mine, other = _letters(short), _letters(long_)
+    # an edit changes at most two letters' being there
+    if len(long_) - len(short) <= limit and (mine ^ other).bit_count() <= 2 * limit:
+        d = _edits(x, y, limit)
+        if d <= limit:
+            return 1 - d / len(long_)
+    if (is_cut or len(short) <= len(long_) - 2) and (mine & ~other).bit_count() <= 1 and _edits(short, long_[: len(short)], 1) <= 1:
         return 0.8
     return 0.0
 
@@ -169,8 +185,13 @@ def monge_elkan(a: list[tuple[str, bool]], b: list[tuple[str, bool]]) -> float:
     """Mean, over the words of ``a``, of the best similarity with a word of ``b``; 0 if a word has no partner."""
     if not a or not b:
         return 0.0
-    best = [max(word_similarity(x, y) for y in b) for x in a]
-    return 0.0 if min(best) < 0.6 else sum(best) / len(best)
+    total = 0.0
+    for x in a:
+        best = max(word_similarity(x, y) for y in b)
+        if best < 0.6:
+            return 0.0
+        total += best
+    return total / len(a)
 
 
 def name_similarity(left: str, right: str) -> float:
@@ -246,10 +267,12 @@ def similar_words(words: DataFrame) -> DataFrame:
 
     def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for word in batch["word"]:
-                asked, held = word_keys(word)
-                both = list(asked | held)
-                yield pd.DataFrame({"key": [xxhash.xxh64_intdigest(k) - (1 << 63) for k in both], "word": word, "asked": [k in asked for k in both], "held": [k in held for k in both]})
+            for at in range(0, len(batch), 500):  # a word has some hundred keys
+                rows = []
+                for word in batch["word"].iloc[at : at + 500]:
+                    asked, held = word_keys(word)
+                    rows += [(xxhash.xxh64_intdigest(k) - (1 << 63), word, k in asked, k in held) for k in asked | held]
+                yield pd.DataFrame(rows, columns=["key", "word", "asked", "held"])
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
