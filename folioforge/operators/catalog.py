@@ -82,7 +82,7 @@ def subject_tags(terms: Column) -> Column:
 
 
 def topic_scope(topics: Column) -> Column:
-    """A sentence on one, two or at least three topics; those from the fourth on are named as related if there are any."""
+    """A sentence (its templates are fixed values) on one, two or at least three topics; those from the fourth on are named as related if there are any."""
     n = F.size(F.coalesce(topics, F.array().cast("array<string>")))
     many = F.concat(F.lit("Covers "), F.array_join(F.slice(topics, 1, 3), ", "), F.when(n > 3, F.concat(F.lit(", and related topics including "), F.array_join(F.slice(topics, 4, 3), ", "))).otherwise(F.lit("")), F.lit("."))
     return (
@@ -150,6 +150,49 @@ def fuzzy_matches(names: DataFrame, key: str, name: str, venues: DataFrame, leas
     return lookup(typed, cut(top.join(asked, "a")), ["a"], "facts", typed.count()).select(key, "journal_id", "ratio")
 
 
+def contained(names: DataFrame, key: str, name: str, venues: DataFrame, longer: int = 10) -> DataFrame:
+    """(key, journal_id): of the venues whose name stands in the given name, or in whose name it stands, the first in corpus order.
+
+    The name that stands in the other has over ``longer`` characters. The distinct names of the stated query set meet
+    all distinct venue names block by block. Null and blank names match nothing.
+    """
+    typed = names.select(key, tx.normal_name(F.col(name)).alias("a")).where("a <> ''")
+    asked = typed.groupBy("a").agg(F.count(F.lit(1)).alias("facts"))
+    held = (
+        venues.select(tx.normal_name(F.col("journal_name")).alias("b"), F.coalesce("pos", F.lit(LAST)).cast("long").alias("pos"), F.col("journal_id").cast("string").alias("j")).where("b <> ''")
+        .groupBy("b").agg(F.min(F.struct("pos", "j")).alias("v")).select("b", "v.pos", "v.j")
+    )
+
+    def first(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        vs = vs.sort_values("pos")
+        known = list(zip(vs["b"], vs["pos"], vs["j"]))
+        found = []
+        for a in qs["a"]:
+            hit = next(((a, p, j) for b, p, j in known if len(b) > longer and b in a or len(a) > longer and a in b), None)
+            found += [hit] if hit else []
+        return pd.DataFrame(found, columns=["a", "pos", "j"])
+
+    met = in_blocks(asked, "a", held, "b", first, "a string, pos long, j string")
+    top = met.groupBy("a").agg(F.min(F.struct("pos", "j")).alias("m")).select("a", F.col("m.j").alias("journal_id"))
+    return lookup(typed, cut(top.join(asked, "a")), ["a"], "facts", typed.count()).select(key, "journal_id")
+
+
+def full_cascade(names: DataFrame, key: str, name: str, venues: DataFrame) -> DataFrame:
+    """(key, journal_id, tier): 1 the exact name, 2 one name within the other, 3 the same abbreviation, 4 nothing."""
+    near = cascade(names, key, name, venues).withColumnRenamed("journal_id", "j13")
+    within = contained(names, key, name, venues).select(key, F.col("journal_id").alias("j2"))
+    tier = F.when(F.col("tier") == 1, 1).when(F.col("j2").isNotNull(), 2).when(F.col("tier") == 2, 3).otherwise(4)
+    joined = near.join(within, key, "left")
+    return joined.select(key, F.when(tier == 2, F.col("j2")).otherwise(F.col("j13")).alias("journal_id"), tier.alias("tier"))
+
+
+def rated(venues: DataFrame) -> DataFrame:
+    """The rows of a rating list: rated venues with their first tag and the rating's own tags, and the quartile of the rating."""
+    rating = F.col("ccf_rating")
+    tags = F.array(F.coalesce(F.get("subject_tags", F.lit(0)), F.lit("")), F.concat(F.lit("CCF-"), rating), F.lit("CCF推荐"))
+    return venues.where(rating.isin(*RATING_QUARTILE)).select("journal_id", tags.alias("subject_tags"), rating.alias("ccf_rank"), rating_quartile(rating).alias("quartile"))
+
+
 def cascade(names: DataFrame, key: str, name: str, venues: DataFrame) -> DataFrame:
     """(key, journal_id, tier): exact name first, then the same abbreviation of letters and digits, else nothing (tier 3)."""
     a = names.select(key, tx.normal_name(F.col(name)).alias("n"), tx.abbreviation(F.col(name)).alias("ab"))
@@ -173,10 +216,11 @@ def keyword_verified(target: Column, actual: Column) -> Column:
 
 
 def enriched(venues: DataFrame, known: DataFrame) -> DataFrame:
-    """Fills scope and tags of venues that need it from a table of known names (name, scope, tags): first exact, by lower-case name."""
-    best = known.select(tx.normal_name(F.col("name")).alias("n"), F.col("scope"), F.col("tags")).dropDuplicates(["n"])
+    """Fills scope and tags of venues that need it from a table of known names (name, scope, tags, pos), by lower-case name; of several rows the first by ``pos``."""
+    best = known.groupBy(tx.normal_name(F.col("name")).alias("n")).agg(F.min_by(F.struct("scope", "tags"), "pos").alias("k")).select("n", "k.scope", "k.tags")
     joined = venues.withColumn("n", tx.normal_name(F.col("journal_name"))).join(best, "n", "left")
     need = needs_enrichment()
-    return joined.withColumn("scope_text", F.when(need & F.col("scope").isNotNull(), F.col("scope")).otherwise(F.col("scope_text"))).withColumn(
-        "subject_tags", F.when(need & F.col("tags").isNotNull(), F.col("tags")).otherwise(F.col("subject_tags"))
-    ).drop("n", "scope", "tags")
+    return joined.withColumns({
+        "scope_text": F.when(need & F.col("scope").isNotNull(), F.col("scope")).otherwise(F.col("scope_text")),
+        "subject_tags": F.when(need & F.col("tags").isNotNull(), F.col("tags")).otherwise(F.col("subject_tags")),
+    }).drop("n", "scope", "tags")

@@ -47,6 +47,17 @@ def sections(blocks: DataFrame) -> DataFrame:
     return grouped.select("paper_id", F.col("section_no").cast("long").alias("section_no"), F.coalesce("title", F.lit("Preamble")).alias("title"), F.greatest("level", F.lit(1)).alias("level"), "n_blocks", content.alias("content"))
 
 
+#: fixed values: the titles of an abstract
+ABSTRACTS = ("Abstract", "摘要")
+
+
+def lifted(section: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(paper_id, abstract), and the sections without it: a first section that is titled as an abstract is none of the sections."""
+    first = section.groupBy("paper_id").agg(F.min_by(F.struct("section_no", "title", "content"), "section_no").alias("f"))
+    found = first.where(F.col("f.title").isin(*ABSTRACTS)).select("paper_id", F.col("f.section_no").alias("section_no"), F.col("f.content").alias("abstract"))
+    return found.select("paper_id", "abstract"), section.join(found, ["paper_id", "section_no"], "left_anti")
+
+
 def markdown(section: DataFrame, papers: DataFrame) -> DataFrame:
     """(paper_id, markdown): the title, the abstract, and the sections under headings of their level."""
     body = section.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("section_no", "level", "title", "content"))).alias("s"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import bm25
 from .blocks import in_blocks
 
 #: fixed values: hits of each route by mode, and the weights of the routes
@@ -19,10 +20,15 @@ AT_ONCE = 128
 
 
 def overlap_topk(queries: DataFrame, qkey: str, qtext: Column, docs: DataFrame, key: str, pos: str, dtext: Column, k: int = 14) -> DataFrame:
-    """(qkey, key, score, rank): the share of a query's words that the document has; only what shares one."""
-    q = queries.select(qkey, tx.token_set(qtext).alias("_t")).withColumn("size", F.greatest(F.size("_t"), F.lit(1)))
-    d = docs.select(key, pos, F.explode(tx.token_set(dtext)).alias("w"))
-    hits = q.select(qkey, "size", F.explode("_t").alias("w")).join(d, "w").groupBy(qkey, key).agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first(pos).alias(pos))
+    """(qkey, key, score, rank): the share of a query's words that the document has; only what shares one.
+
+    The documents that have a hot word are met in as many tasks as ``bm25.matches`` has salts for it.
+    """
+    q = queries.select(qkey, tx.token_set(qtext).alias("_t")).withColumn("size", F.greatest(F.size("_t"), F.lit(1))).select(qkey, "size", F.explode("_t").alias("term"))
+    d = docs.select(key, pos, F.explode(tx.token_set(dtext)).alias("term"))
+    df = d.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    met = bm25.matches(q, d, key, df, docs.agg(F.count(F.lit(1)).alias("n")))
+    hits = met.groupBy(qkey, key).agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first(pos).alias(pos))
     scored = hits.withColumn("score", F.round(F.col("n") / F.col("size"), 6))
     return topk(scored, qkey, pos, k).select(qkey, key, "score", "rank")
 

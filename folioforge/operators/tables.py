@@ -34,6 +34,11 @@ def venue_profile(name: str = "journal_name", scope: str = "scope_text", keyword
     return F.array_join(F.filter(parts, lambda p: p != ""), " | ")
 
 
+def embedding_text() -> Column:
+    """The other text by which a venue is embedded: its name and scope."""
+    return F.concat(F.coalesce("journal_name", F.lit("")), F.lit(". "), F.coalesce("scope_text", F.lit("")))
+
+
 def current_profiles(profiles: DataFrame) -> DataFrame:
     """The newest profile of each paper."""
     return last_wins(profiles, "paper_id", F.col("created_at").desc_nulls_last(), F.col("profile_id").desc())

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_catalog, q_retrieval, q_rules
+from . import q_build, q_catalog, q_retrieval, q_rules
 
-MODULES = [q_retrieval, q_rules, q_catalog]
+MODULES = [q_retrieval, q_rules, q_catalog, q_build]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -171,7 +171,10 @@ def section_assembly(s, d):
     return document.sections(table(s, d, "blocks"))
 
 
-@query()
+@query(f"""WITH {_BLOCK}, se AS (SELECT paper_id, section_no, coalesce(max(CASE WHEN level > 0 THEN trim(text) END), 'Preamble') AS title, greatest(max(level), 1) AS level,
+        coalesce(string_agg(trim(text), ' ' ORDER BY page, y0, x0, block_id) FILTER (WHERE level = 0), '') AS content FROM sn GROUP BY paper_id, section_no),
+    bd AS (SELECT paper_id, string_agg(repeat('#', least(level + 1, 6)::INT) || ' ' || title || chr(10) || content, chr(10) ORDER BY section_no) AS body FROM se GROUP BY paper_id)
+    SELECT paper_id, concat_ws(chr(10), '# ' || title, CASE WHEN coalesce(abstract, '') <> '' THEN '## Abstract' || chr(10) || abstract END, body) AS markdown FROM bd JOIN papers USING (paper_id)""")
 def paper_markdown(s, d):
     return document.markdown(document.sections(table(s, d, "blocks")), table(s, d, "papers"))
 
@@ -249,11 +252,12 @@ def area_match(s, d):
     return _logged(s, d).join(area, "paper_id").groupBy("paper_id").agg(F.max(F.arrays_overlap("areas", F.coalesce("subject_tags", none))).alias("area_match"))
 
 
-@query(f"""WITH {sql.CAT} SELECT tag AS area, coalesce(ccf_rating, '?') AS level, count(*) AS venues, list_sort(list(journal_id)) AS ids FROM (SELECT journal_id, ccf_rating, unnest(list_distinct(subject_tags)) AS tag FROM cat)
+@query(f"""WITH {sql.CAT} SELECT tag AS area, coalesce(ccf_rating, '?') AS level, count(*) AS venues FROM (SELECT journal_id, ccf_rating, unnest(list_distinct(subject_tags)) AS tag FROM cat)
     WHERE tag IS NOT NULL AND tag <> '' GROUP BY ALL""")
 def venues_by_area_level(s, d):
+    """How many venues each area has on each level; ``venue_area_members`` has the members."""
     e = catalogue(table(s, d, "venues")).select("journal_id", "ccf_rating", F.explode(F.array_distinct("subject_tags")).alias("area")).where("area <> ''")
-    return e.groupBy("area", F.coalesce("ccf_rating", F.lit("?")).alias("level")).agg(F.count(F.lit(1)).alias("venues"), F.array_sort(F.collect_list("journal_id")).alias("ids"))
+    return e.groupBy("area", F.coalesce("ccf_rating", F.lit("?")).alias("level")).agg(F.count(F.lit(1)).alias("venues"))
 
 
 @query(f"""WITH {sql.CAT} SELECT area, level, journal_id FROM (SELECT area, level, journal_id, row_number() OVER (PARTITION BY area, level ORDER BY pos) AS r FROM
@@ -282,7 +286,7 @@ def parse_venue_lines(s, d):
     return table(s, d, "venue_lines").select("line_id", r.alias("r")).where("r._corrupt_record is null").select("line_id", "r.journal_id", "r.journal_name")
 
 
-@query()
+@query("SELECT line_id, json_extract_string(record, '$.journal_id') AS journal_id FROM venue_lines")
 def llm_json_parse(s, d):
     """JSON found in answers of several forms, made from the raw catalogue lines."""
     from .providers import parsed_answers
@@ -292,14 +296,20 @@ def llm_json_parse(s, d):
     return parsed_answers(table(s, d, "venue_lines").select("line_id", form.alias("answer")), "answer").select("line_id", F.get_json_object("json", "$.journal_id").alias("journal_id"))
 
 
-@query()
+@query(f"""WITH {sql.CAT}, {_LOG}, sc AS (SELECT paper_id, journal_id, max(score) AS score, max(match_reasons) AS reasons FROM venue_matches GROUP BY ALL),
+    r AS (SELECT lg.paper_id, rank, journal_name, score, reasons FROM lg JOIN cat USING (journal_id) JOIN sc USING (paper_id, journal_id) WHERE rank <= 5 AND journal_name IS NOT NULL)
+    SELECT paper_id, 0 AS no, 'Paper: ' || coalesce(title, '') AS line FROM papers
+    UNION ALL SELECT paper_id, (rank * 100)::INT, rank::VARCHAR || '. ' || journal_name || ' (' || printf('%.2f', score) || ')' FROM r
+    UNION ALL SELECT paper_id, (rank * 100 + 1 + i)::INT, '  - ' || x FROM (SELECT paper_id, rank, unnest(reasons[1:10]) AS x, generate_subscripts(reasons[1:10], 1) - 1 AS i FROM r)""")
 def report_lines(s, d):
     """A printed report of the logged recommendations."""
     r = _logged(s, d).where("rank <= 5").join(table(s, d, "venue_matches").groupBy("paper_id", "journal_id").agg(F.max("score").alias("score"), F.max("match_reasons").alias("reasons")), ["paper_id", "journal_id"])
     return report(r.where("journal_name is not null"), table(s, d, "papers"))
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents WHERE text IS NOT NULL),
+    r AS (SELECT *, coalesce(sum(CASE WHEN contains(t, 'http') THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rec FROM l),
+    g AS (SELECT doc, rec, string_agg(trim(t), ' ' ORDER BY no) AS line FROM r GROUP BY doc, rec) SELECT doc, rec::BIGINT AS rec, line FROM g WHERE contains(line, 'http')""")
 def directory_rows(s, d):
     """Directory rows put together from the lines of texts, each up to an address."""
     lines = table(s, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import bm25, evaluate, retrieve
-from ..operators.tables import asked, catalogue, current_profiles, query_text, rich_query, search_query, venue_profile
+from ..operators.tables import asked, catalogue, current_profiles, embedding_text, query_text, rich_query, search_query, venue_profile
 from ..session import table
 from . import sql
 
@@ -111,7 +111,8 @@ def rich_query_terms(s, d):
 _SIZE = "CASE mode WHEN 'title' THEN {0} WHEN 'full' THEN {1} ELSE {2} END"
 
 
-@query(f"""WITH {sql.CAT}, {sql.PROF}, asked AS (SELECT p.*, m.mode FROM prof p JOIN (SELECT paper_id, mode FROM papers) m USING (paper_id) WHERE p.paper_id % 20 = 0),
+#: CTEs after ``cat`` and ``prof``, ending in fused(paper_id, journal_id, score, met): the lexical routes of the query set
+FUSED = f"""asked AS (SELECT p.*, m.mode FROM prof p JOIN (SELECT paper_id, mode FROM papers) m USING (paper_id) WHERE p.paper_id % 20 = 0),
     {sql.okapi(sql.RICH, source="asked")}, {_TEXT.replace("FROM prof", "FROM asked")},
     br AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, pos) AS rank FROM okapi),
     tr AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, pos) AS rank FROM thit),
@@ -119,8 +120,10 @@ _SIZE = "CASE mode WHEN 'title' THEN {0} WHEN 'full' THEN {1} ELSE {2} END"
         UNION ALL SELECT paper_id, journal_id, score, 2000 + rank, 0.20, 2 FROM tr JOIN asked USING (paper_id) WHERE rank <= {_SIZE.format(16, 16, 14)}),
     norm AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 0.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END * weight AS n
         FROM routes WINDOW w AS (PARTITION BY paper_id, route)),
-    fused AS (SELECT paper_id, journal_id, round(sum(n), 6) AS score, min(met) AS met FROM norm GROUP BY ALL)
-    {sql.topk('fused', 'met', '50')}""")
+    fused AS (SELECT paper_id, journal_id, round(sum(n), 6) AS score, min(met) AS met FROM norm GROUP BY ALL)"""
+
+
+@query(f"WITH {sql.CAT}, {sql.PROF}, {FUSED} {sql.topk('fused', 'met', '50')}")
 def hybrid_fusion_by_mode(s, d):
     """The lexical routes fused, with the fan-out of each paper's mode; no vector route without an index."""
     from .pipeline import candidates
@@ -129,6 +132,21 @@ def hybrid_fusion_by_mode(s, d):
     return candidates(current_profiles(table(s, d, "profiles")).join(mode, "paper_id"), table(s, d, "venues"))
 
 
+@query()
+def hybrid_fusion_three_routes(s, d):
+    """All three routes: the vectors are hashed words, so the same in every run; the exact search is tested against brute force."""
+    from .pipeline import candidates
+    from .providers import HashingEmbedding
+
+    mode = table(s, d, "papers").select("paper_id", "mode").where("paper_id % 20 = 0")
+    return candidates(current_profiles(table(s, d, "profiles")).join(mode, "paper_id"), table(s, d, "venues"), HashingEmbedding())
+
+
+@query(f"WITH {sql.CAT} SELECT journal_id, {sql.profile()} AS profile_text, coalesce(journal_name, '') || '. ' || coalesce(scope_text, '') AS name_text FROM cat")
+def embedding_texts(s, d):
+    return _docs(s, d).select("journal_id", F.col("_profile").alias("profile_text"), embedding_text().alias("name_text"))
+
+
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '" + sql.SPACE + r"', ' ', 'g'), '[\x00-\x1f\x7f-\x9f]', '', 'g')) AS cleaned FROM documents".replace(r"\x00-\x1f\x7f-\x9f", r"\x{00}-\x{1f}\x{7f}-\x{9f}"))
 def clean_text_plain(s, d):
     return table(s, d, "documents").select("doc_id", tx.clean(F.col("text")).alias("cleaned"))

@@ -167,31 +167,51 @@ def strength_heuristic(s, d):
 @query(f"""WITH {sql.PROF} SELECT paper_id, CASE WHEN paper_strength IS NULL THEN 'unknown' WHEN paper_strength >= 0.65 THEN 'strong' WHEN paper_strength >= 0.5 THEN 'medium' ELSE 'weak' END AS band,
     CASE WHEN paper_strength >= 0.65 THEN 'A' WHEN paper_strength >= 0.45 THEN 'B' WHEN paper_strength >= 0.25 THEN 'C' ELSE 'D' END AS level,
     CASE WHEN paper_strength >= 0.6 AND coalesce(quality_confidence, 0) * 3 >= 2 THEN 'Ready' WHEN paper_strength >= 0.35 THEN 'Preliminary' ELSE 'Needs-Revision' END AS ready,
-    round(least((0.35 * 2 + 0.25 + 0.15 + 0.15 + 0.10 * coalesce(paper_strength * 3, 1)) / 3, 1.0), 6) AS assessed FROM prof""")
+    round(least((0.35 * coalesce(quality_confidence * 3, 1) + 0.25 * coalesce(paper_strength * 3, 1) + 0.15 * coalesce(least(3, len(datasets)), 1) + 0.15 * coalesce(least(3, len(evaluation_metrics)), 1)
+        + 0.10 * coalesce(least(3, len(techniques)), 1)) / 3, 1.0), 6) AS assessed FROM prof""")
 def quality_bands(s, d):
     p = current_profiles(table(s, d, "profiles"))
-    q, one = F.col("paper_strength"), F.lit(None).cast("double")
+    q = F.col("paper_strength")
+    upto3 = lambda c: F.when(F.col(c).isNotNull(), F.least(F.lit(3), F.size(c)))
     return p.select(
         "paper_id", rules.strength_band(q).alias("band"), rules.strength_level(q).alias("level"), rules.readiness(q, F.coalesce("quality_confidence", F.lit(0.0)) * 3).alias("ready"),
-        F.round(rules.assessed(F.lit(2), one, one, one, q * 3), 6).alias("assessed"),
+        F.round(rules.assessed(F.col("quality_confidence") * 3, q * 3, upto3("datasets"), upto3("evaluation_metrics"), upto3("techniques")), 6).alias("assessed"),
     )
 
 
+_SHARED = "list_sort(list_distinct(list_filter(coalesce(research_area, []), lambda a: list_contains(coalesce(subject_tags, []), a))))"
+
+
 @query(f"""WITH {sql.PAIRS}, r AS (SELECT paper_id, journal_id, [
-    CASE WHEN len(coalesce(research_area, [])) > 0 THEN CASE WHEN len(list_intersect(research_area, coalesce(subject_tags, []))) > 0 THEN 'shared' ELSE '领域：' || array_to_string(research_area[1:2], ', ') END END,
+    CASE WHEN len(coalesce(research_area, [])) > 0 THEN CASE WHEN len({_SHARED}) > 0 THEN '领域匹配：' || array_to_string({_SHARED}, ', ') ELSE '领域：' || array_to_string(research_area[1:2], ', ') END END,
     CASE WHEN len(coalesce(techniques, [])) > 0 THEN '技术：' || array_to_string(techniques[1:2], ', ') END,
     CASE WHEN coalesce(method_type, '') <> '' THEN '类型：' || CASE method_type WHEN 'method' THEN '方法论' WHEN 'system' THEN '系统设计' WHEN 'experiment' THEN '实验' WHEN 'survey' THEN '综述' ELSE method_type END END,
     CASE WHEN coalesce(oa_type, '') <> '' THEN '出版：' || CASE oa_type WHEN 'full_oa' THEN '完全OA' WHEN 'hybrid' THEN '混合OA' WHEN 'subscription' THEN '订阅' ELSE oa_type END END] AS l FROM pairs)
     SELECT paper_id, journal_id, CASE WHEN len(list_filter(l, lambda x: x IS NOT NULL)) = 0 THEN ['匹配度较高'] ELSE list_filter(l, lambda x: x IS NOT NULL) END AS reasons FROM r""")
 def explain_fallback(s, d):
-    shown = F.transform(rules.fallback_reasons(), lambda r: F.when(F.startswith(r, F.lit("领域匹配：")), "shared").otherwise(r))  # the order of shared areas is not defined
-    return _pairs(s, d).select("paper_id", "journal_id", shown.alias("reasons"))
+    """The reasons as they are; shared areas are named in alphabetical order."""
+    return _pairs(s, d).select("paper_id", "journal_id", rules.fallback_reasons().alias("reasons"))
+
+
+def _recommended_sql() -> str:
+    """The fused candidates of the query set, scored by the rules and adjusted."""
+    from .q_retrieval import FUSED
+
+    cols = "f.paper_id, f.journal_id, p.title, p.abstract, p.research_area, p.keywords, p.techniques, p.datasets, p.evaluation_metrics, p.method_type, p.paper_type, p.novelty_type, p.paper_strength"
+    pairs = f"""pairs AS (SELECT {cols}, v.pos, v.journal_name, coalesce(v.scope_text, '') AS scope_text, v.keywords AS venue_keywords, v.subject_tags, v.oa_type, v.target_paper_type, v.ccf_rating
+        FROM top50 f JOIN prof p USING (paper_id) JOIN cat v USING (journal_id))"""
+    head = f"{sql.CAT}, {sql.PROF.replace('prof AS', 'prof0 AS')}, prof AS (SELECT q.* REPLACE (m.title AS title, m.abstract AS abstract) FROM prof0 q JOIN papers m USING (paper_id))"
+    rest = _ADJ.removeprefix(f"{sql.PAIRS},")
+    top = "SELECT paper_id, journal_id, adjusted AS score, row_number() OVER (PARTITION BY paper_id ORDER BY adjusted DESC, rule_rank) AS rank FROM adj"
+    return f"WITH {head}, {FUSED}, top50 AS ({sql.topk('fused', 'met', '50')}), {pairs}, {rest} SELECT paper_id, rank, journal_id, score, 0.5::DOUBLE AS confidence FROM ({top}) WHERE rank <= 5"
 
 
-@query()
 def recommend_rule_only(s, d):
     """The whole pipeline without a model, for the papers of the query set."""
     from .pipeline import recommend
 
     papers = current_profiles(table(s, d, "profiles")).drop("title", "abstract").join(table(s, d, "papers").select("paper_id", "title", "abstract", "full_text", "mode"), "paper_id").where("paper_id % 20 = 0")
     return recommend(papers, table(s, d, "venues")).select("paper_id", "rank", "journal_id", "score", "confidence")
+
+
+query(_recommended_sql())(recommend_rule_only)

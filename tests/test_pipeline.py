@@ -129,3 +129,46 @@ def test_hits_need_enough_recommendations(spark):
     act = spark.createDataFrame([(1, " b "), (2, "x"), (3, "a"), (None, "a"), (1, None)], "paper_id long, venue string")
     s = evaluate.summary(evaluate.hits(rec, act)).first()
     assert (s.total, s.hit1, s.hit3, s.hit10) == (3, 0, 0, 1)
+
+
+def test_spread_left_equals_left_join(spark, monkeypatch):
+    from folioforge import session
+
+    facts = spark.createDataFrame([(i, None if i % 7 == 0 else "" if i % 5 == 0 else f"k{i % 3}") for i in range(60)], "id long, k string")
+    dim = spark.createDataFrame([("k0", 1), ("k1", 2), ("", 9)], "k string, v int")
+    want = {(r.id, r.v) for r in facts.join(dim, "k", "left").where("coalesce(k, '') <> ''").collect()} | {(r.id, None) for r in facts.where("coalesce(k, '') = ''").collect()}
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    assert {(r.id, r.v) for r in session.spread_left(facts, dim, ["k"], "id").select("id", "v").collect()} == want
+
+
+def test_cut_removes_what_nothing_reads(spark):
+    from folioforge import session
+
+    one = session.cut(spark.range(5).toDF("id"))
+    two = session.cut(one.where("id > 1"), after=[one])
+    assert two.count() == 3
+    import os
+
+    assert not os.path.exists(one.folder.removeprefix("file:")) and os.path.exists(two.folder.removeprefix("file:"))
+    import pytest
+
+    with pytest.raises(ValueError):
+        session.remove(spark, "file:///etc/nothing")
+
+
+def test_cascade_by_containment(spark):
+    v = spark.createDataFrame([("a", 0, "Journal of Graph Mining"), ("b", 1, "Graph Mining Letters and Notes"), ("c", 2, "Tiny"), ("d", 3, None), ("e", 4, "J.G.M.")], "journal_id string, pos long, journal_name string")
+    n = spark.createDataFrame([(1, "journal of graph mining"), (2, "The Journal of Graph Mining (Online)"), (3, "graph mining l"), (4, "Tiny things"), (5, "jgm"), (6, None), (7, "")], "k long, name string")
+    got = {r.k: (r.journal_id, r.tier) for r in catalog.full_cascade(n, "k", "name", v).collect()}
+    assert got == {1: ("a", 1), 2: ("a", 2), 3: ("b", 2), 4: (None, 4), 5: ("e", 3), 6: (None, 4), 7: (None, 4)}
+    assert catalog.full_cascade(n.limit(0), "k", "name", v).count() == 0
+
+
+def test_abstract_is_lifted(spark):
+    b = spark.createDataFrame(
+        [(1, 1, 1, 1.0, 0.0, 18.0, "Abstract"), (2, 1, 1, 2.0, 0.0, 10.0, "what it is about"), (3, 1, 1, 3.0, 0.0, 14.0, "1. Introduction"), (4, 1, 1, 4.0, 0.0, 10.0, "text"), (5, 2, 1, 1.0, 0.0, 14.0, "1. Introduction"), (6, 2, 1, 2.0, 0.0, 18.0, "Abstract")],
+        "block_id long, paper_id long, page int, y0 double, x0 double, font_size double, text string",
+    )
+    abstract, left = document.lifted(document.sections(b))
+    assert [tuple(r) for r in abstract.collect()] == [(1, "what it is about")]
+    assert sorted((r.paper_id, r.title) for r in left.collect()) == [(1, "1. Introduction"), (2, "1. Introduction"), (2, "Abstract")]
