@@ -86,13 +86,18 @@ def lookup(facts: DataFrame, dim: DataFrame, keys: list[str], count: str, total:
 SALTS, BROADCAST_ROWS = 8, 100_000
 
 
-def spread_left(facts: DataFrame, dim: DataFrame, keys: list[str], by: str) -> DataFrame:
+def is_small(dim: DataFrame) -> bool:
+    most = max(BROADCAST_ROWS, 0)
+    return dim.select(F.lit(1)).limit(most + 1).count() <= most
+
+
+def spread_left(facts: DataFrame, dim: DataFrame, keys: list[str], by: str, small: bool | None = None) -> DataFrame:
     """Left join with a table that has one row for each key, in ``SALTS`` parts by the fact column ``by``.
 
-    Facts with a null or empty key match nothing and are spread evenly. A table that is counted and found small is
-    broadcast; otherwise it is copied for each part, being small beside the facts.
+    Facts with a null or empty key match nothing and are spread evenly. A table that is counted and found small (or
+    known to be ``small``) is broadcast; otherwise it is copied for each part, being small beside the facts.
     """
-    if dim.select(F.lit(1)).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if is_small(dim) if small is None else small:
         return facts.join(F.broadcast(dim), keys, "left")
     known = F.lit(True)
     for k in keys:
