@@ -94,6 +94,17 @@ def p7_fill(docs, specs):
     return p7_pack.fill_report(cut(p7_pack.assigned(docs, specs)), specs)
 
 
+@_tables("documents", "pack_specs")
+def p7_invariants(docs, specs):
+    """What must hold for each container size: every text is placed, no container is over its capacity, no text that fits is split."""
+    packed = cut(p7_pack.assigned(docs, specs))
+    size = F.broadcast(specs.groupBy("spec_id").agg(F.max("capacity_tokens").alias("capacity")))
+    full = packed.groupBy("spec_id", "bin").agg(F.sum("n_tokens").alias("z")).join(size, "spec_id").groupBy("spec_id").agg(F.count_if(F.col("z") > F.col("capacity")).alias("over_full"))
+    text = packed.groupBy("spec_id", "doc_id").agg(F.sum("n_tokens").alias("z"), F.count(F.lit(1)).alias("pieces")).join(size, "spec_id")
+    texts = text.groupBy("spec_id").agg(F.count(F.lit(1)).alias("texts"), F.count_if((F.col("pieces") > 1) & (F.col("z") <= F.col("capacity"))).alias("split_needlessly"))
+    return texts.join(full, "spec_id")
+
+
 @_tables("documents", "mix_targets")
 def p8_mixture(docs, targets):
     return p8_mix.mixture(docs, targets)[0]
@@ -104,6 +115,16 @@ def p8_shares(docs, targets):
     return p8_mix.shares(*p8_mix.mixture(docs, targets))
 
 
+@_tables("documents", "mix_targets")
+def p8_invariants(docs, targets):
+    """What must hold for each listed source: no document beyond its uses, and a budget that is kept but for less than its largest document."""
+    drawn, plan = p8_mix.mixture(docs, targets)
+    got = drawn.groupBy("source").agg(F.max("uses").alias("uses"), F.sum(F.col("n_tokens") * F.col("uses")).alias("got"))
+    held = plan.join(got, "source", "left").na.fill(0, ["uses", "got"])
+    left = F.col("budget") - F.col("got")
+    return held.select("source", "docs", (F.col("uses") <= F.col("max_repeats")).alias("uses_kept"), ((left >= 0) & ((left == 0) | (left < F.greatest("largest", p8_mix.SHORT * F.col("budget"))))).alias("share_kept"))
+
+
 @_tables("documents")
 def p9_found(docs):
     return p9_sentences.sentences(docs)
@@ -114,7 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_paragraphs, p2_found, p2_unmatched, p3_found, p3_golden, p4_found, p4_records, p5_found, p5_entities,
-            p6_found, p6_confidence, p7_packing, p7_fill, p8_mixture, p8_shares, p9_found,
+            p6_found, p6_confidence, p7_packing, p7_fill, p7_invariants, p8_mixture, p8_shares, p8_invariants, p9_found,
         )
     }
 
@@ -166,4 +187,10 @@ def oracle_sql() -> dict[str, str]:
         "p4_records": f"""
             WITH k AS (SELECT line_id, {_KEY} AS key FROM venue_lines)
             SELECT key, count(*) AS copies, min(line_id) AS first_line FROM k GROUP BY key""",
+        "p7_invariants": """
+            SELECT spec_id, (SELECT count(DISTINCT doc_id) FROM documents WHERE length(text) > 0) AS texts, 0 AS split_needlessly, 0 AS over_full
+            FROM pack_specs WHERE capacity_tokens > 0 GROUP BY spec_id""",
+        "p8_invariants": """
+            SELECT t.source, count(DISTINCT d.doc_id) AS docs, true AS uses_kept, true AS share_kept
+            FROM (SELECT DISTINCT source FROM mix_targets WHERE source IS NOT NULL) t LEFT JOIN (SELECT * FROM documents WHERE length(text) > 0) d ON d.source = t.source GROUP BY t.source""",
     }
