@@ -135,8 +135,10 @@ def _substituted(large: DataFrame, capacity: int, first_bin: int) -> tuple[DataF
     span = spark.createDataFrame(spans, "`group` int, start long, stop long, each int, bin_at long")
     edge = spark.createDataFrame([(i, g[0], g[1]) for i, g in enumerate(groups)], "`group` int, low int, high int")
     item = _numbered(large.join(F.broadcast(edge), F.col("size").between(F.col("low"), F.col("high"))).drop("low", "high"))
-    placed = item.join(F.broadcast(span), "group").where((F.col("slot") >= F.col("start")) & (F.col("slot") < F.col("stop")))
-    return placed.withColumn("bin", F.col("bin_at") + F.floor((F.col("slot") - F.col("start")) / F.col("each"))).select(*large.columns, "bin"), bin_at
+    # one row for each group: its spans in order, so that an item looks up its own and is not copied for the others
+    spans_of = span.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("start", "each", "bin_at"))).alias("spans"))
+    placed = item.join(F.broadcast(spans_of), "group").withColumn("span", F.element_at("spans", F.size(F.filter("spans", lambda x: x["start"] <= F.col("slot")))))
+    return placed.withColumn("bin", F.col("span.bin_at") + F.floor((F.col("slot") - F.col("span.start")) / F.col("span.each"))).select(*large.columns, "bin"), bin_at
 
 
 def best_fit(rooms: list[tuple[int, int]], items: list[tuple], capacity: int) -> list[tuple]:
