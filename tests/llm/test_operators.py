@@ -259,6 +259,27 @@ def test_p6_frequent_keys_open_edges(spark, monkeypatch):
     assert {(r.listing_id, r.journal_id) for r in got} >= {(1, f"j{i}") for i in range(5)} | {(2, "j3")} and len(got) == len(set(got))
 
 
+def test_p6_candidates_against_brute_force(spark):
+    """Every pair of names that would be compared as alike, by all pairs, is a candidate for at least nine of ten."""
+    rng = random.Random(11)
+    topics = ["Graph Mining", "Traffic Shaping", "Anomaly Tracing", "Robot Theory", "Query Engines", "Image Synthesis"]
+    venues, rows = [], []
+    for i in range(90):
+        name = f"{rng.choice(['Annals of', 'Journal of', 'Letters in'])} {rng.choice(['Elastic', 'Bounded', 'Sparse', 'Robust', 'Dynamic'])} {rng.choice(topics)}"
+        house = f"{rng.choice(['alpha', 'betamax', 'gammaray'])}press"
+        venues.append((f"j{i}", name, house.title(), f"https://www.{house}.example/v{i}"))
+        for k in range(2):
+            j = rng.randrange(1, len(name) - 1)
+            slip = rng.choice([name[:j] + name[j + 1 :], name[:j] + name[j + 1] + name[j] + name[j + 2 :], name.upper(), f"The {name} (Online)"])
+            rows.append((2 * i + k, slip, house.title() if k else None, None))
+    schema = "journal_name string, publisher string, homepage_url string"
+    v = p6_link.attributes(spark.createDataFrame(venues, f"journal_id string, {schema}"), "journal_id")
+    l = p6_link.attributes(spark.createDataFrame(rows, f"listing_id long, {schema}"), "listing_id")  # noqa: E741
+    want = {(a.listing_id, b.journal_id) for a in l.collect() for b in v.collect() if p5_names.name_similarity(a.name, b.name) >= p6_link.SURE}
+    got = {(r.listing_id, r.journal_id) for r in p6_link.candidate_edges(l, v).collect()}
+    assert len(want) > 180 and len(want & got) >= 0.9 * len(want)
+
+
 @pytest.mark.filterwarnings("error:confidence is not stable")
 def test_p6_says_when_confidence_is_not_stable(spark, monkeypatch):
     names = [f"Annals of {a} {b} Graph Mining" for a in ("Elastic", "Bounded", "Sparse") for b in ("Robot", "Query")]
