@@ -23,14 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, spread_left
+from ..session import cut, is_small, spread_left
 from .p5_names import KINDS, _tokens, distance, name_similarity, reading
 
 OVERSIZED = 200
 KEEP = 0.4
 ACCEPT = 0.5
 #: moves below STABLE are none; rounds that are not stable after ROUNDS, or come round again, are reported
-ROUNDS, STABLE = 200, 0.01
+ROUNDS, STABLE, STEP = 200, 0.01, 0.9
 SURE, NEIGHBOURS, ALONE = 0.8, 3.0, 1.0
 #: the pairs of owners whose similarity is propagated: of a listing, and of a venue
 OWNERS = (("lp", "vp"), ("lh", "vh"), ("lp", "vh"), ("lh", "vp"))
@@ -176,35 +176,41 @@ def _confidence(pub, site):
     return 1 / (1 + F.exp(-odds))
 
 
+def _sure() -> Column:
+    """How much an edge counts as a match: nothing below ``ACCEPT``, its confidence from ``SURE`` on, and no step between, so that rounds do not flip."""
+    return F.col("conf") * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("conf") - ACCEPT) / (SURE - ACCEPT)))
+
+
 def near(scored: DataFrame) -> DataFrame:
     """(owners, a, b, matched, every, most), by the place in ``OWNERS``: the sure matches between two owners, those of the listings' owner with anyone, and with the owner that it has most of."""
     pair = F.explode(F.array(*[F.struct(F.lit(i).alias("owners"), F.col(a).alias("a"), F.col(b).alias("b")) for i, (a, b) in enumerate(OWNERS)]))
     known = scored.where(F.col("name") >= SURE).select("conf", pair.alias("o")).select("conf", "o.*").where("a <> '' and b <> ''")
-    both = known.groupBy("owners", "a", "b").agg(F.coalesce(F.sum(F.when(F.col("conf") >= SURE, F.col("conf"))), F.lit(0.0)).alias("matched"), F.sum(F.greatest("conf", F.lit(0.3))).alias("all"))
+    # rounded, since the order of a sum, and so its last digits, differ from run to run
+    both = known.groupBy("owners", "a", "b").agg(F.round(F.sum(_sure()), 6).alias("matched"), F.round(F.sum(F.greatest("conf", F.lit(0.3))), 6).alias("all"))
     every = both.groupBy("owners", "a").agg(F.sum("all").alias("every"), F.max("matched").alias("most"))
     return both.join(every, ["owners", "a"]).drop("all")
 
 
 def _support(a: str, b: str) -> Column:
     """From -1 to 1: whether the two owners' other venues are matched to each other, rather than to other owners' venues; 0 if nothing is known of them."""
-    own = F.when(F.col("name") >= SURE, F.col("conf")).otherwise(0.0)
-    sure = F.when(F.col("conf") >= SURE, own).otherwise(0.0)
+    sure = F.when(F.col("name") >= SURE, _sure()).otherwise(0.0)
     every = F.col(f"every_{a}_{b}") - F.when(F.col("name") >= SURE, F.greatest("conf", F.lit(0.3))).otherwise(0.0) + 1
     mine = F.greatest(F.col(f"matched_{a}_{b}") - sure, F.lit(0.0))
-    most = F.greatest(F.col(f"most_{a}_{b}") - F.when(F.col(f"matched_{a}_{b}") == F.col(f"most_{a}_{b}"), sure).otherwise(0.0), mine)
+    most = F.greatest(F.col(f"most_{a}_{b}") - F.when(F.col(f"matched_{a}_{b}") >= F.col(f"most_{a}_{b}") - 1e-5, sure).otherwise(0.0), mine)
     return F.coalesce((2 * mine - most) / every, F.lit(0.0))
 
 
 def refined(scored: DataFrame) -> DataFrame:
-    """The edges with their confidence after one more round of propagation."""
+    """The edges with their confidence after one more round of propagation, which goes ``STEP`` of the way."""
     joined, pairs = scored, cut(near(scored))
+    small = is_small(pairs)
     for i, (a, b) in enumerate(OWNERS):
         one = pairs.where(F.col("owners") == i).select(F.col("a").alias(a), F.col("b").alias(b), *[F.col(c).alias(f"{c}_{a}_{b}") for c in ("matched", "every", "most")])
-        joined = spread_left(joined, one, [a, b], "listing_id")
+        joined = spread_left(joined, one, [a, b], "listing_id", small)
     renamed = {(a, b): F.coalesce(F.try_divide(f"matched_{a}_{b}", F.col(f"every_{a}_{b}") + NEIGHBOURS), F.lit(0.0)) * 2 - 1 for a, b in OWNERS[:2]}
     pub = F.when(F.col("pub") < 0, F.greatest("pub", renamed["lp", "vp"])).when(F.col("pub") > 0, F.col("pub")).otherwise(_support("lp", "vh"))
     site = F.when(F.col("site") < 0, F.greatest("site", renamed["lh", "vh"])).when(F.col("site") > 0, F.col("site")).otherwise(_support("lh", "vp"))
-    return joined.withColumn("was", F.col("conf")).withColumn("conf", _confidence(pub, site)).select(*scored.columns, "was")
+    return joined.withColumn("was", F.col("conf")).withColumn("conf", F.col("conf") + STEP * (_confidence(pub, site) - F.col("conf"))).select(*scored.columns, "was")
 
 
 def matches(listings: DataFrame, venues: DataFrame, rounds: int = ROUNDS) -> DataFrame:
