@@ -91,7 +91,10 @@ def with_keys(text_lines: DataFrame) -> DataFrame:
     )
     close = edge.withColumn("near", F.max(F.col("edge").cast("int")).over(doc.rowsBetween(-EDGE, EDGE)) > 0)
     # a running head is the title or the authors, perhaps cut short, perhaps with a page number
-    head = F.trim(F.regexp_replace("mask", r"(\s+[\[(–—-]?\s?(#|p\. ?#|page #|# of #|[ivx]{1,4})\s?[\])–—-]?)$|^([\[(–—-]?\s?(p\. ?|page )?#( of #)?\s?[\])–—-]?\s+)(?=\D{6})", ""))
+    stripped = F.trim(F.regexp_replace("mask", r"(\s+[\[(–—-]?\s?(#|p\. ?#|page #|# of #|[ivx]{1,4})\s?[\])–—-]?)$|^([\[(–—-]?\s?(p\. ?|page )?#( of #)?\s?[\])–—-]?\s+)(?=\D{6})", ""))
+    # it begins as they do, or with what may be taken off
+    begins = [F.startswith("skel", F.left(F.col(c), F.lit(2))) for c in ("title", "authors")]
+    head = F.when((F.col("seq") > 2) & (begins[0] | F.coalesce(begins[1], F.lit(False)) | F.col("mask").rlike(r"^[\[(–—#-]|^p(\.|age )")), stripped)
     held = close.withColumn("head", head).withColumn("stem", skeleton(F.regexp_replace("head", r"\s*(\.\.\.|…)$", ""))).withColumn("is_cut", F.col("head").rlike(r"(\.\.\.|…)$"))
     titled = (F.col("stem") == F.col("title")) | (F.col("is_cut") & (F.length("stem") > 8) & F.expr("startswith(title, stem)"))
     titled = titled | (F.col("near") & (F.length("stem") > 15) & F.expr("startswith(title, concat(stem, ' '))"))
