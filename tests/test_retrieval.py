@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from folioforge.operators import blocks, bm25, retrieve
+from folioforge.operators import blocks, bm25, retrieve, wordsearch
 
 
 def naive_okapi(docs, query, k):
@@ -76,3 +76,18 @@ def test_overlap_search(spark):
     q = spark.createDataFrame([(7, "Deep graph nets"), (8, "")], "q long, t string")
     got = retrieve.overlap_topk(q, "q", F.col("t"), d, "id", "pos", F.col("t")).collect()
     assert [(r.q, r.id, round(r.score, 4)) for r in sorted(got, key=lambda r: r["rank"])] == [(7, 1, 0.3333), (7, 2, 0.3333)]
+
+
+def test_overlap_search_in_blocks(spark, monkeypatch):
+    for name, value in (("QUERY_ROWS", 5), ("CORPUS_ROWS", 9), ("AT_ONCE", 2), ("GROUPS", 4)):
+        monkeypatch.setattr(wordsearch, name, value)
+    rng = random.Random(3)
+    docs, queries = ([" ".join(rng.choices("abcdefghij", k=rng.randint(0, 6))) for _ in range(n)] for n in (60, 12))
+    d = spark.createDataFrame(list(enumerate(docs)), "id long, t string").withColumn("pos", -F.col("id"))
+    q = spark.createDataFrame(list(enumerate(queries)), "q long, t string")
+    for k in (3, 7):  # fewer and more than the groups
+        got = retrieve.overlap_topk(q, "q", F.col("t"), d, "id", "pos", F.col("t"), k).orderBy("q", "rank").collect()
+        for i, text in enumerate(queries):
+            asked = set(text.split())
+            share = sorted((-round(len(asked & set(t.split())) / len(asked), 6), -j) for j, t in enumerate(docs) if asked & set(t.split()))
+            assert [(r.id, r.score) for r in got if r.q == i] == [(-j, -s) for s, j in share[:k]]
