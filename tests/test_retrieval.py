@@ -78,6 +78,16 @@ def test_overlap_search(spark):
     assert [(r.q, r.id, round(r.score, 4)) for r in sorted(got, key=lambda r: r["rank"])] == [(7, 1, 0.3333), (7, 2, 0.3333)]
 
 
+def test_okapi_writes_no_table_of_all_matches(spark, monkeypatch):
+    rows, cut = [], bm25.cut
+    monkeypatch.setattr(bm25, "cut", lambda df, *a: rows.append((out := cut(df, *a)).count()) or out)
+    d = spark.range(300).select("id", F.concat(F.lit("a b w"), (F.col("id") % 7).cast("string")).alias("t"), F.col("id").alias("pos"))
+    q = spark.range(40).select(F.col("id").alias("q"), F.lit("a b w3").alias("t"))
+    got = bm25.okapi_topk(q, "q", F.col("t"), d, "id", "pos", F.col("t"), 4).orderBy("q", "rank").collect()
+    assert [r.id for r in got] == [3, 10, 17, 24] * 40
+    assert max(rows) <= 300
+
+
 def test_overlap_search_in_blocks(spark, monkeypatch):
     for name, value in (("QUERY_ROWS", 5), ("CORPUS_ROWS", 9), ("AT_ONCE", 2), ("GROUPS", 4)):
         monkeypatch.setattr(wordsearch, name, value)
@@ -91,3 +101,16 @@ def test_overlap_search_in_blocks(spark, monkeypatch):
             asked = set(text.split())
             share = sorted((-round(len(asked & set(t.split())) / len(asked), 6), -j) for j, t in enumerate(docs) if asked & set(t.split()))
             assert [(r.id, r.score) for r in got if r.q == i] == [(-j, -s) for s, j in share[:k]]
+
+
+def test_okapi_in_blocks(spark, monkeypatch):
+    for name, value in (("QUERY_ROWS", 5), ("CORPUS_ROWS", 9), ("AT_ONCE", 2), ("GROUPS", 4), ("LOOK_UP", 0)):
+        monkeypatch.setattr(wordsearch, name, value)
+    rng = random.Random(4)
+    docs, queries = ([" ".join(rng.choices("aabcdefghijklmnopqrstuvwxyz", k=rng.randint(0, 6))) for _ in range(n)] for n in (60, 12))
+    d = spark.createDataFrame(list(enumerate(docs)), "id long, t string").withColumn("pos", F.col("id"))
+    q = spark.createDataFrame(list(enumerate(queries)), "q long, t string")
+    for k in (3, 7):
+        got = bm25.okapi_topk(q, "q", F.col("t"), d, "id", "pos", F.col("t"), k).orderBy("q", "rank").collect()
+        for i, text in enumerate(queries):
+            assert [(r.id, round(r.score, 4) + 0.0) for r in got if r.q == i] == [(a, round(b, 4) + 0.0) for a, b in naive_okapi(docs, text, k)]
