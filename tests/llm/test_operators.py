@@ -1,5 +1,6 @@
 """The nine operators on small tables: nulls, empties, ties, repeated rows, extra columns, and brute force."""
 
+import itertools
 import random
 
 import pytest
@@ -195,6 +196,22 @@ def test_p5_large_bucket_is_paired_in_full(spark, monkeypatch):
     assert {(r.a, r.b) for r in p5_names.links(distinct).collect()} == {(0, 3), (3, 4)}
 
 
+def test_p5_words_have_partners_of_their_own(spark):
+    names = ["the Modelu Memoda memory models one", "Modelu Memoda Journal of Hybrid Memory Models", "the Momepakumode modular memory models one", "Nodunopotede visual tracking"]
+    names += [f"{place} Journal of Hybr. Memo. Mode." for place in ("Diriva Polona", "Sagudi Lidipi", "Bilale Bafoso", "Kafopi Renu")] + ["Mopukemeradi Jnl Modu. Visua. Track."]
+    df = spark.createDataFrame(list(enumerate(names)), "entry_id long, journal_name string")
+    assert {tuple(r) for r in p5_names.pairs(df).collect()} == {(0, 1)}
+
+
+def test_p5_partners_equal_brute_force():
+    rng = random.Random(5)
+    for _ in range(500):
+        n, m = rng.randint(1, 4), rng.randint(4, 5)
+        w = [[rng.choice([p5_names.NO_PARTNER, 0.8, 0.97, rng.random()]) for _ in range(m)] for _ in range(n)]
+        most = max(sum(row[k] for row, k in zip(w, ks)) for ks in itertools.permutations(range(m), n))
+        assert p5_names._matched(w) == pytest.approx(most)
+
+
 def test_p5_frequent_names_miss_no_link(spark):
     rng = random.Random(6)
     topics = ["Quantised Gesture Interfaces", "Dynamic Traffic Shaping", "Elastic Anomaly Tracing", "Bounded Robot Theory", "Interoperabilisation of Streaming Data", "Sparse Query Engines"]
