@@ -2,11 +2,13 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("folioforge.llm")
+from folioforge import session  # noqa: E402
 from folioforge.llm import p1_scan, p2_canon, p3_survivor, p4_ledger, p5_names, p6_link, p7_pack, p8_mix, p9_sentences  # noqa: E402
 
 VENUES = (
@@ -231,6 +233,30 @@ def test_p5_frequent_names_miss_no_link(spark):
     assert {(r.a, r.b) for r in p5_names.links(distinct).collect()} == want
 
 
+def test_p5_cut_leaves_no_shuffle_files(spark):
+    kept = lambda: sum(f.getName().startswith("shuffle_") for f in files(blocks.getAllFiles()))
+    files, blocks = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava, spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    was, plan = kept(), spark.range(1000).repartition(4, "id").groupBy(F.col("id") % 7).count()
+    session.cut(plan)
+    for _ in range(50):  # they are removed in the background
+        if kept() <= was:
+            break
+        time.sleep(0.2)
+    assert kept() <= was
+
+
+def test_p5_similar_words_over_small_batches(spark):
+    words = {w[:n] for w in ("momepakumode", "modelling", "monitoring", "mobility") for n in range(2, 12)} | {"momepakumdoe", "modeling", "a" * 20, "a" * 18 + "b"}
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(size)
+    spark.conf.set(size, "3")
+    try:
+        got = {tuple(r) for r in p5_names.similar_words(spark.createDataFrame([(w,) for w in sorted(words)], "word string")).collect()}
+    finally:
+        spark.conf.set(size, was)
+    assert got == {(x, y) for x in words for y in words if p5_names.word_similarity((x, True), (y, True)) > 0}
+
+
 def test_p5_similar_words_equal_brute_force(spark):
     rng = random.Random(7)
     words = {"".join(rng.choices("ab", k=rng.randint(1, 18))) for _ in range(250)} | {"interoperabilisation", "interoperabilization", "interoperabilisatoin", "interop", "nteroperabilisaton"}
