@@ -324,6 +324,16 @@ def test_p6_candidates_against_brute_force(spark):
 
 
 @pytest.mark.filterwarnings("error:confidence is not stable")
+def test_p6_leaves_few_tables(spark, monkeypatch):
+    left, write, drop = set(), p6_link.cut, session.remove
+    monkeypatch.setattr(p6_link, "cut", lambda df, after=(): (out := write(df, after), left.add(out.folder))[0])
+    monkeypatch.setattr(session, "remove", lambda s, folder: (left.discard(folder), drop(s, folder))[1])
+    fields = "journal_name string, publisher string, homepage_url string"
+    v = spark.createDataFrame([("v", "Journal of Robust Graph Mining", "Aster Press", "https://www.aster.org/jrgm")], "journal_id string, " + fields)
+    assert p6_link.matches(spark.createDataFrame([(1, "J. Robust Graph Mining", "Aster", None)], "listing_id long, " + fields), v, rounds=1).count() == 1
+    assert len(left) == 2  # the edges, and the owners of the one round
+
+
 def test_p6_says_when_confidence_is_not_stable(spark, monkeypatch):
     names = [f"Annals of {a} {b} Graph Mining" for a in ("Elastic", "Bounded", "Sparse") for b in ("Robot", "Query")]
     v = spark.createDataFrame([(f"j{i}", n, "Alpha Press", f"https://www.alphapress.example/p{i}x") for i, n in enumerate(names)], "journal_id string, journal_name string, publisher string, homepage_url string")
