@@ -172,3 +172,10 @@ def test_abstract_is_lifted(spark):
     abstract, left = document.lifted(document.sections(b))
     assert [tuple(r) for r in abstract.collect()] == [(1, "what it is about")]
     assert sorted((r.paper_id, r.title) for r in left.collect()) == [(1, "1. Introduction"), (2, "1. Introduction"), (2, "Abstract")]
+
+
+def test_routes_are_written_before_they_are_fused(spark):
+    venues = spark.read.parquet("/root/testdata/sf0.001/venues.parquet")
+    papers = spark.read.parquet("/root/testdata/sf0.001/profiles.parquet").dropDuplicates(["paper_id"]).limit(3).withColumn("mode", F.lit("title"))
+    fused = pipeline.candidates(papers, venues)
+    assert "CoGroup" not in fused._jdf.queryExecution().toString() and fused.count() > 0
