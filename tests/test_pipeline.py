@@ -179,3 +179,10 @@ def test_routes_are_written_before_they_are_fused(spark):
     papers = spark.read.parquet("/root/testdata/sf0.001/profiles.parquet").dropDuplicates(["paper_id"]).limit(3).withColumn("mode", F.lit("title"))
     fused = pipeline.candidates(papers, venues)
     assert "CoGroup" not in fused._jdf.queryExecution().toString() and fused.count() > 0
+
+
+def test_scope_scores_are_written_before_the_ranking(spark):
+    venues = spark.read.parquet("/root/testdata/sf0.001/venues.parquet")
+    papers = spark.read.parquet("/root/testdata/sf0.001/profiles.parquet").dropDuplicates(["paper_id"]).limit(3).withColumns({"mode": F.lit("title"), "full_text": F.lit("")})
+    plan = pipeline.recommend(papers, venues)._jdf.queryExecution().optimizedPlan().toString()
+    assert "idf_plus" not in plan
