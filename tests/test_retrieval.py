@@ -114,3 +114,33 @@ def test_okapi_in_blocks(spark, monkeypatch):
         got = bm25.okapi_topk(q, "q", F.col("t"), d, "id", "pos", F.col("t"), k).orderBy("q", "rank").collect()
         for i, text in enumerate(queries):
             assert [(r.id, round(r.score, 4) + 0.0) for r in got if r.q == i] == [(a, round(b, 4) + 0.0) for a, b in naive_okapi(docs, text, k)]
+
+
+def test_lexical_routes_meet_once_and_equal_the_searches(spark, monkeypatch):
+    for name, value in (("QUERY_ROWS", 5), ("CORPUS_ROWS", 9), ("AT_ONCE", 2), ("GROUPS", 4), ("CELLS", 3)):
+        monkeypatch.setattr(wordsearch, name, value)
+    meetings, in_blocks = [], wordsearch.in_blocks
+    monkeypatch.setattr(wordsearch, "in_blocks", lambda *a: meetings.append(a) or in_blocks(*a))
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choices("abcdefghij", k=rng.randint(0, 6))), -i) for i in range(60)]
+    d = spark.createDataFrame([(str(i), t, p) for i, t, p in docs], "journal_id string, scope_text string, pos long").selectExpr("*", "'' as journal_name", "array() as keywords", "array() as subject_tags")
+    rows = [(i, " ".join(rng.choices("abcxyz", k=rng.randint(0, 5))), rng.choice("xyz"), ["title", "full", "abstract", None][i % 4]) for i in range(12)]
+    q = spark.createDataFrame(rows, "q long, r string, s string, mode string").withColumn("s", F.when(F.col("q") > 2, F.col("s")).otherwise(F.col("r")))
+    sizes = {"bm25": retrieve.route_size("bm25"), "text": retrieve.route_size("text")}
+    got = retrieve.lexical_routes(q, "q", F.col("r"), F.col("s"), d, "journal_id", "pos", F.col("scope_text"), sizes)
+    assert len(meetings) == 1
+    k = F.col("rank") <= F.col("k")
+    for route, hits in (
+        ("bm25", bm25.okapi_topk(q, "q", F.col("r"), d, "journal_id", "pos", F.col("scope_text"), 32)),
+        ("text", retrieve.overlap_topk(q, "q", F.col("s"), d, "journal_id", "pos", F.col("scope_text"), 16)),
+    ):
+        want = hits.join(q.select("q", sizes[route].alias("k")), "q").where(k).drop("k")
+        assert sorted(map(tuple, got[route].collect())) == sorted(map(tuple, want.collect())), route
+
+
+def test_meetings_are_spread_over_the_tasks(spark):
+    numbers = spark.range(50).select(F.col("id").cast("int").alias("i"), F.hash(F.col("id").cast("int")).alias("h")).collect()
+    assert all(blocks.spark_hash(r.i) == r.h for r in numbers)
+    for n, partitions in ((9, 14), (14, 14), (40, 12)):
+        tasks = [blocks.spark_hash(x) % partitions for x in blocks.labels_apart(n, partitions)]
+        assert max(tasks.count(t) for t in range(partitions)) == -(-n // partitions)
