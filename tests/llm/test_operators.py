@@ -84,6 +84,24 @@ def test_p2_derived_paths():
     assert not m.all_near("fluid mechanics") and not m.all_near("x")
 
 
+def test_p2_groups_give_terms_to_one_entry():
+    entries = [("a1", "Security and privacy", "安全与隐私", ["information security"]), ("a2", "Networks and communication", "网络与数据通信", ["computer networks"]), ("a3", "Robots", None, [])]
+    groups = [("网络与信息安全", "information security", "privacy", "intrusion detection"), ("计算机网络", "computer networks", "routing", "network protocols"), ("ai", "robots", "smart systems")]
+    m = p2_canon.Matcher(entries, groups)
+    for value, entry in (("intrusion detection", "a1"), ("intrusoin detection", "a1"), ("routing", "a2"), ("privacy & intrusion", "a1"), ("routing protocols", "a2")):
+        assert min(m.all_near(value))[2] == entry, value
+    assert not m.all_near("routing detection") and not m.all_near("robot detection")  # words of two entries
+    narrow = p2_canon.Matcher([("t1", "privacy", None, [])], groups)  # one subject of several that the group lists
+    assert not narrow.all_near("intrusion detection")
+
+
+def test_p2_area_groups_and_the_other_vocabulary(spark):
+    areas = spark.createDataFrame([("a1", "area", "Networks and communication", "网络与数据通信", ["computer networking"]), ("t1", "tag", "network", "网络与通信", ["computer networks"]), ("a2", "area", "Artificial intelligence", None, ["AI"]), ("a3", "area", "Software engineering and programming languages", None, [])], AREAS)
+    typed = spark.createDataFrame([(v, "area") for v in ("网络通信", "knowledge graphs", "expert systms", "compilers & software", "bee keeping")], "raw_value string, vocab string")
+    got = {r.raw_value: r.entry_id for r in p2_canon.map_values(typed, areas, p2_canon.area_groups()).collect()}
+    assert got == {"网络通信": "a1", "knowledge graphs": "a2", "expert systms": "a2", "compilers & software": "a3", "bee keeping": "unmatched"}
+
+
 def test_p3_survivor(spark):
     import datetime as dt
 
