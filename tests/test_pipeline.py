@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from folioforge.operators import catalog, document, evaluate
 from folioforge.operators.tables import catalogue, first_wins
-from folioforge.plans import pipeline, providers
+from folioforge.plans import pipeline, providers, q_retrieval
 from folioforge.sources import files
 from folioforge.streaming import events
 
@@ -186,3 +186,19 @@ def test_scope_scores_are_written_before_the_ranking(spark):
     papers = spark.read.parquet("/root/testdata/sf0.001/profiles.parquet").dropDuplicates(["paper_id"]).limit(3).withColumns({"mode": F.lit("title"), "full_text": F.lit("")})
     plan = pipeline.recommend(papers, venues)._jdf.queryExecution().optimizedPlan().toString()
     assert "idf_plus" not in plan
+
+
+def test_fusion_asks_with_every_paper(spark):
+    d = "/root/testdata/sf0.001"
+    papers, profiles = (spark.read.parquet(f"{d}/{t}.parquet").select("paper_id") for t in ("papers", "profiles"))
+    want = {r.paper_id for r in profiles.join(papers, "paper_id").distinct().collect()}
+    assert {r.paper_id for r in q_retrieval.QUERIES["hybrid_fusion_by_mode"](spark, d).select("paper_id").distinct().collect()} == want
+    assert " % 20" not in q_retrieval.SQL["hybrid_fusion_by_mode"] and " % 20" in q_retrieval.FUSED
+
+
+def test_passes_over_the_papers_change_nothing(spark, monkeypatch):
+    venues = spark.read.parquet("/root/testdata/sf0.001/venues.parquet")
+    papers = spark.read.parquet("/root/testdata/sf0.001/profiles.parquet").dropDuplicates(["paper_id"]).withColumn("mode", F.lit("full"))
+    want = sorted(map(tuple, pipeline.candidates(papers, venues, providers.HashingEmbedding()).collect()))
+    monkeypatch.setattr(pipeline, "PASS_ROWS", 15)
+    assert sorted(map(tuple, pipeline.candidates(papers, venues, providers.HashingEmbedding()).collect())) == want
