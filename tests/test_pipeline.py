@@ -202,3 +202,10 @@ def test_passes_over_the_papers_change_nothing(spark, monkeypatch):
     want = sorted(map(tuple, pipeline.candidates(papers, venues, providers.HashingEmbedding()).collect()))
     monkeypatch.setattr(pipeline, "PASS_ROWS", 15)
     assert sorted(map(tuple, pipeline.candidates(papers, venues, providers.HashingEmbedding()).collect())) == want
+
+
+def test_three_routes_ask_with_every_paper(spark):
+    d = "/root/testdata/sf0.001"
+    papers, profiles = (spark.read.parquet(f"{d}/{t}.parquet").select("paper_id") for t in ("papers", "profiles"))
+    want = {r.paper_id for r in profiles.join(papers, "paper_id").distinct().collect()}
+    assert {r.paper_id for r in q_retrieval.QUERIES["hybrid_fusion_three_routes"](spark, d).select("paper_id").distinct().collect()} == want
