@@ -1,8 +1,10 @@
 """The nine operators on small tables: nulls, empties, ties, repeated rows, extra columns, and brute force."""
 
 import itertools
+import math
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -430,3 +432,25 @@ def test_p9_sentences(spark):
     right = sum(len(made[i]) == sum(texts[i].count(e) for e in ("papers.", "euros.", "more?", "much.", "objected in")) for i in range(1, 150))
     assert right >= 140
     assert p9_sentences.sentences(d.limit(0)).count() == 0
+
+
+def test_light_keys_open_no_edges(spark, monkeypatch):
+    """The edges kept are those of all shared keys, but the pairs that share only frequent ones are never written."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("bcdfgklmnprst", k=3)) + "ixo" for _ in range(60)]
+    names = [f"Graph Mining {a} {b} Letters" for a, b in (rng.sample(words, 2) for _ in range(150))]
+    schema = "journal_name string, publisher string, homepage_url string"
+    v = p6_link.attributes(spark.createDataFrame([(f"v{i}", x, None, None) for i, x in enumerate(names)], f"journal_id string, {schema}"), "journal_id")
+    l = p6_link.attributes(spark.createDataFrame([(i, x, None, None) for i, x in enumerate(names[:100] + ["Graph Mining"])], f"listing_id long, {schema}"), "listing_id")  # noqa: E741
+    has = {r.journal_id: set(r["keys"]) for r in v.collect()}
+    df = Counter(k for ks in has.values() for k in ks)
+    want = set()
+    for r in l.collect():
+        weights = {j: sum(math.log((len(has) + 1) / df[k]) for k in sorted(set(r["keys"]) & ks)) for j, ks in has.items()}
+        want |= {(r.listing_id, j) for j, w in weights.items() if w > 0 and w >= p6_link.KEEP * max(weights.values()) - 1e-9}
+    rows, cut = [], p6_link.cut
+    monkeypatch.setattr(p6_link, "cut", lambda df, *a, **k: rows.append((out := cut(df, *a, **k)).count()) or out)
+    monkeypatch.setattr(p6_link, "RARE", 20)
+    got = {(r.listing_id, r.journal_id) for r in p6_link.candidate_edges(l, v).collect()}
+    assert got == want
+    assert max(rows) < 5000  # all pairs are 15,150
