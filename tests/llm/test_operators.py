@@ -454,3 +454,15 @@ def test_light_keys_open_no_edges(spark, monkeypatch):
     got = {(r.listing_id, r.journal_id) for r in p6_link.candidate_edges(l, v).collect()}
     assert got == want
     assert max(rows) < 5000  # all pairs are 15,150
+
+
+def test_candidates_share_two_words_where_one_is_frequent(spark, monkeypatch):
+    rng = random.Random(9)
+    words = ("graph", "graphs", "mining", "minign", "packet", "routing", "visual", "tracking", "memory", "models")
+    texts = sorted({" ".join(rng.sample(words, 2)) for _ in range(80)})
+    distinct = spark.createDataFrame(list(enumerate(texts)), "id long, reading string")
+    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if p5_names.name_similarity(texts[a], texts[b]) >= p5_names.LINK_AT}
+    monkeypatch.setattr(p5_names, "FEW", 5, raising=False)
+    got = {(r.a, r.b) for r in p5_names.candidates(distinct).collect()}
+    assert want and want <= got
+    assert len(got) < 3 * len(want)  # by one word alone it is far more
